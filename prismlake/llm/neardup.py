@@ -16,8 +16,10 @@ those near in signature are confirmed as well. Links inside a component can't ch
 copies is ever expanded into pairs.
 
 Defined results: a null or wordless text has no shingles and no links; a null doc_id takes part through its
-text and has its component, or null where nothing else is in it; rows that share a doc_id are one document;
-repeated rows are repeated in the result; an empty table gives an empty one; other columns are not read.
+text and has its component, or null (and is kept) where no row with an id is in it; rows that share a doc_id
+but not their text are judged by their own texts, which count as linked where that id names both texts'
+classes; repeated rows are repeated in the result; an empty table gives an empty one; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded_batches, map_batches, staged, text_bytes
@@ -220,10 +222,6 @@ def components(edges: DataFrame) -> DataFrame:
     return label.union(label.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def _different(cid: Column, other: Column) -> Column:
-    return cid.isNotNull() & other.isNotNull() & (cid != other)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per document doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is that one).
 
@@ -255,7 +253,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = staged(confirmed(signed(star), docs, percent), "links")
     comps = components(links)
 
-    # doc_ids that have several texts tie their classes together: they already are one node
     apart = buckets.where("many > 3").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed_keys = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
@@ -274,6 +271,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     classed = sets.join(names, same, "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "cid")).otherwise(F.col("doc_id"))
-    return classed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    result = classed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_batches
 
 BUCKETS, RANK, BINS = 1 << 16, 6, 8
-TRAIN_ROWS, EPOCHS, BATCH, RATE, DECAY = 8_000, 6, 256, 0.05, 1e-4
+TRAIN_ROWS, STEPS, BATCH, RATE, DECAY = 8_000, 500, 128, 0.1, 1e-4
 THRESHOLD, HELD_OUT = 0.7, 2
 
 _MARKS = [re.compile(x) for x in (r"[|]", r"[!?]{2}", r"[%&$#*@^~=+<>\\{}\[\]_]", r"^[^a-zà-ÿ]*[A-ZÀ-Þ]{2}[^a-zà-ÿ]*$", r"\d", r"^[A-ZÀ-Þ]", r"[.,;:]$", r"://|www\.")]
@@ -106,26 +106,25 @@ class Machine:
         rng, n = np.random.default_rng(seed), len(self.w)
         self.bias = float(np.log(labels.mean() / (1 - labels.mean())))
         seen_w, seen_v, seen_b = np.full(n, 1e-3, np.float32), np.full((n, RANK), 1e-3, np.float32), 1e-3
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(labels))
-            for at in range(0, len(order), BATCH):
-                k = order[at : at + BATCH]
-                columns, values, starts = self.rows([buckets[i] for i in k], stats[k])
-                raw, sums = self.raw(columns, values, starts)
-                error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[k]) / len(k)).astype(np.float32)
-                row = np.repeat(np.arange(len(k)), np.diff([*starts, len(columns)]))
-                used, slot = np.unique(columns, return_inverse=True)
-                g = error[row] * values
-                gw = np.bincount(slot, g, len(used)) + DECAY * self.w[used]
-                vx = self.v[columns] * values[:, None]
-                gv = np.stack([np.bincount(slot, g * (sums[row, f] - vx[:, f]), len(used)) for f in range(RANK)], axis=1) + DECAY * self.v[used]
-                seen_w[used] += gw**2
-                seen_v[used] += gv**2
-                self.w[used] -= RATE * gw / np.sqrt(seen_w[used])
-                self.v[used] -= RATE * gv / np.sqrt(seen_v[used])
-                gb = float(error.sum())
-                seen_b += gb * gb
-                self.bias -= RATE * gb / np.sqrt(seen_b)
+        order = np.concatenate([rng.permutation(len(labels)) for _ in range(-(-STEPS * BATCH // len(labels)))])
+        for at in range(0, STEPS * BATCH, BATCH):
+            k = order[at : at + BATCH]
+            columns, values, starts = self.rows([buckets[i] for i in k], stats[k])
+            raw, sums = self.raw(columns, values, starts)
+            error = ((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[k]) / len(k)).astype(np.float32)
+            row = np.repeat(np.arange(len(k)), np.diff([*starts, len(columns)]))
+            used, slot = np.unique(columns, return_inverse=True)
+            g = error[row] * values
+            gw = np.bincount(slot, g, len(used)) + DECAY * self.w[used]
+            vx = self.v[columns] * values[:, None]
+            gv = np.stack([np.bincount(slot, g * (sums[row, f] - vx[:, f]), len(used)) for f in range(RANK)], axis=1) + DECAY * self.v[used]
+            seen_w[used] += gw**2
+            seen_v[used] += gv**2
+            self.w[used] -= RATE * gw / np.sqrt(seen_w[used])
+            self.v[used] -= RATE * gv / np.sqrt(seen_v[used])
+            gb = float(error.sum())
+            seen_b += gb * gb
+            self.bias -= RATE * gb / np.sqrt(seen_b)
         return self
 
 
@@ -169,21 +168,20 @@ def quality(docs: DataFrame, labels: DataFrame, *, carry: list[str] | None = Non
     spark = docs.sparkSession
     bounded_batches(spark)
     model = spark.sparkContext.broadcast(fitted(docs, labels))  # a fixed number of parameters, 2 MB
-    carry = carry or []
+    carry = [c for c in carry or [] if c != "doc_id"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
     types = dict(docs.dtypes)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("own_text"), *carry)
 
     def scores(batch: pa.RecordBatch) -> dict:
         machine = model.value
         if isinstance(machine, float):
             score = np.full(batch.num_rows, machine)
         elif batch.num_rows:
-            buckets, stats = zip(*(inputs(t) for t in batch.column("own_text").to_pylist()))
+            buckets, stats = zip(*(inputs(t) for t in batch.column("text").to_pylist()))
             score = machine.score(list(buckets), np.array(stats))
         else:
             score = np.empty(0)
         return {"doc_id": batch.column("doc_id"), "score": score, "predicted": (score >= threshold).astype(np.int32)} | {c: batch.column(c) for c in carry}
 
-    schema = ", ".join(["doc_id long, score double, predicted int", *(f"`{c}` {types[c]}" for c in carry if c != "doc_id")])
-    out = map_batches(docs, scores, schema)
-    return out.select("doc_id", is_held_out().alias("held_out"), "score", "predicted", *(c for c in carry if c != "doc_id"))
+    out = map_batches(docs, scores, ", ".join(["doc_id long, score double, predicted int", *(f"`{c}` {types[c]}" for c in carry)]))
+    return out.select("doc_id", is_held_out().alias("held_out"), "score", "predicted", *carry)

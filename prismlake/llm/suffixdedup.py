@@ -362,7 +362,7 @@ def _text_key() -> list:
     return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _cut(batch: pa.RecordBatch, with_kept: bool) -> dict:
@@ -374,13 +374,14 @@ def _cut(batch: pa.RecordBatch, with_kept: bool) -> dict:
             x, y = merged(np.array(a), np.array(b))
             spans, removed = len(x), int((y - x).sum())
             kept = b"".join(data[i:j] for i, j in zip([0, *y], [*x, len(data)]))
-        for c, value in zip(out, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None)):
+        for c, value in zip(out, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and text is not None else None)):
             out[c].append(value)
     return {"doc_id": batch.column("doc_id")} | out
 
 
 def without_repeats(docs: DataFrame, *, with_kept: bool = False, carry: list[str] | None = None, group: int = GROUP) -> DataFrame:
-    """Per document doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with_kept adds the rest's bytes.
+    """Per document doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256;
+    with_kept adds the rest as text, without characters that were cut (null for a null text).
 
     carry names further columns of docs to hand through (a string, long or double each).
     """
