@@ -10,10 +10,11 @@ probability 0.262, in all ten chunks with 1.5e-6; for higher similarities much l
 
 Keys only propose. Equal sets are first folded into one class, named by its smallest doc_id. In each bucket
 every class is then held against the bucket's first and last class (linear in the bucket), survivors are
-confirmed on the full shingle sets, and confirmed links are contracted to components. Only classes that
-share a bucket but are still in different components are then compared with each other, block by block, and
-those near in signature are confirmed as well. Links inside a component can't change it, so no group of
-copies is ever expanded into pairs.
+confirmed on the full shingle sets, and confirmed links are contracted to components. What is left are
+buckets that hold several components. Of their pairs that are near in signature only a spanning forest
+leaves a bucket's block; it connects classes to families, whose sets are then compared block by block, all of
+a block at once, unless two blocks are of one component. Only links that join components leave a block. So no
+group of copies is ever expanded into pairs, and no candidate is dropped.
 
 Defined results: a null or wordless text has no shingles and no links; a null doc_id takes part through its
 text and has its component, or null (and is kept) where no row with an id is in it; rows that share a doc_id
@@ -38,10 +39,10 @@ from .common import WordHashes, bounded_batches, map_batches, staged, text_bytes
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
 SLOTS = CHUNKS * WIDTH
-#: A pair with more differing slots isn't confirmed; a pair of similarity 0.75 has so many with probability 1e-8.
-MOST_DIFFERENT = 27
-#: Classes in a block of a large bucket, members that go with one copy of their leader.
-BLOCK, FOLLOWERS = 512, 64
+#: A pair with more differing slots isn't confirmed; a pair of similarity 0.75 has so many with probability 5e-7.
+MOST_DIFFERENT = 24
+#: Classes in a block of a large bucket, followers that go with one copy of their leader, classes in a block of a family.
+BLOCK, FOLLOWERS, MEMBERS = 512, 64, 256
 
 _rng = np.random.default_rng(20_240_501)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,39 +160,125 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
 
-def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): pairs of a bucket's blocks i and j in different components and near in signature."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        cid, comp, block, n, i, j = (t.column(c).to_numpy() for c in ("cid", "comp", "block", "n_shingles", "i", "j"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        a, b = [], []
-        for x in left:
-            rest = right[right > x] if i[0] == j[0] else right
-            rest = rest[comp[rest] != comp[x]]
-            rest = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
-            rest = rest[(sig[rest] != sig[x]).sum(axis=1) <= MOST_DIFFERENT]
-            a.append(np.minimum(cid[x], cid[rest]))
-            b.append(np.maximum(cid[x], cid[rest]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) if c else pa.array([], pa.int64()) for c in (a, b)], schema=schema)
-
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows that are sorted by some integer keys, whole."""
     group, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in columns])) + 1
         for x, y in zip([0, *cuts], [*cuts, batch.num_rows]):
-            if (key[x], i[x], j[x]) != group:
+            if (own := tuple(c[x] for c in columns)) != group:
                 if held:
-                    yield pairs(held)
-                group, held = (key[x], i[x], j[x]), []
+                    yield pa.Table.from_batches(held)
+                group, held = own, []
             held.append(batch.slice(x, y - x))
     if held:
-        yield pairs(held)
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Union-find over the places 0..n-1."""
+
+    def __init__(self, start: np.ndarray):
+        """Places of the same start value are together from the first."""
+        _, first, inverse = np.unique(start, return_index=True, return_inverse=True)
+        self.up = first[inverse]
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(self.up, higher := self.up[self.up]):
+            self.up = higher
+        return self.up
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _kin(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of buckets, sorted by (key, i, j): a spanning forest of the pairs that are near in size and signature
+    and whose components differ, so at most one edge for each row."""
+    for t in sorted_groups(batches, ["key", "i", "j"]):
+        cid, comp, block, n, i, j = (t.column(c).to_numpy() for c in ("cid", "comp", "block", "n_shingles", "i", "j"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        _, where, many = np.unique(comp, return_inverse=True, return_counts=True)
+        forest, edges = Forest(np.arange(len(cid))), []
+        for x in np.flatnonzero(where != many.argmax()):  # a pair of two components has one side here, or both
+            rest = right if block[x] == i[0] else left
+            rest = rest[(comp[rest] != comp[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))]
+            for y in rest[(sig[rest] != sig[x]).sum(axis=1) <= MOST_DIFFERENT]:
+                if forest.join(x, y):
+                    edges.append((cid[x], cid[y]))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=EDGES)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of a family, sorted by (family, i, j): a spanning forest of the links between components.
+
+    The intersections of one set with all others of the pair of blocks are counted at once.
+    """
+    for t in sorted_groups(batches, ["family", "i", "j"]):
+        cid, comp, block, i, j = (t.column(c).to_numpy() for c in ("cid", "comp", "block", "i", "j"))
+        sets = [shingles(x) for x in t.column("text").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        mark = np.zeros(flat.max(initial=0) + 1, np.int64)
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        forest, edges = Forest(comp), []
+        _, where, many = np.unique(comp, return_inverse=True, return_counts=True)
+        for x in np.flatnonzero(where != many.argmax()):
+            rest = right if block[x] == i[0] else left
+            roots = forest.roots()
+            rest = rest[roots[rest] != roots[x]]
+            if not len(rest) or not size[x]:
+                continue
+            own = flat[starts[x] : starts[x] + size[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], np.minimum(starts, len(flat) - 1))[rest]
+            mark[own] = 0
+            for y in rest[(both > 0) & (100 * both >= percent * (size[rest] + size[x] - both))]:
+                if forest.join(x, y):
+                    edges.append((cid[x], cid[y]))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=EDGES)
+
+
+def family_links(kin: DataFrame, comps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of the same family (what the kin edges connect).
+
+    A family's classes are dealt into blocks: those of a component with more than MEMBERS classes into blocks of
+    their own, the others together. Every two blocks are compared whole, but not two of one component.
+    """
+    family = components(kin).toDF("cid", "family").join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    # the rest of the components that the family touches belongs to it too
+    touched = family.select("comp", "family").distinct()
+    grown = comps.toDF("cid", "comp").join(touched, "comp").unionByName(family).distinct()
+    grown = staged(grown, "families")
+    sizes = grown.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > MEMBERS).select("family", "comp", F.ceil(F.col("n") / MEMBERS).alias("own"))
+    rest = sizes.where(F.col("n") <= MEMBERS).groupBy("family").agg(F.ceil(F.sum("n") / MEMBERS).alias("shared"))
+    dealt = grown.join(large, ["family", "comp"], "left").join(rest, "family", "left")
+    block = F.when(F.col("own").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("own")))).otherwise(F.pmod(F.xxhash64("cid"), F.col("shared")))
+    dealt = staged(dealt.select("family", "cid", "comp", block.alias("block"), F.when(F.col("own").isNotNull(), F.col("comp")).alias("pure")), "dealt")
+    blocks = dealt.select("family", "block", "pure").distinct()
+    two = blocks.toDF("family", "i", "p").join(blocks.toDF("family", "j", "q"), "family").where("i <= j AND NOT coalesce(p = q, false)").select("family", "i", "j")
+    sides = two.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = dealt.select("family", "cid", "comp", "block").join(sides, ["family", "block"])
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text")
+    rows = rows.join(texts, "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     star = buckets.select(F.col("lo").alias("a"), F.col("cid").alias("b")).union(buckets.select(F.col("cid").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
     links = staged(confirmed(signed(star), docs, percent), "links")
-    comps = components(links)
+    comps = staged(components(links), "components")
 
     apart = buckets.where("many > 3").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed_keys = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
@@ -266,7 +353,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
-    more = confirmed(rest.mapInArrow(lambda batches: _cross(batches, percent), "a long, b long"), docs, percent)
+    kin = staged(rest.mapInArrow(lambda batches: _kin(batches, percent), "a long, b long").distinct(), "kin")
+    more = family_links(kin, comps, docs, percent)
     comps = staged(components(links.union(more)), "components")
 
     classed = sets.join(names, same, "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
