@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, ingest_queries, score_queries, vector_queries  # noqa: F401
+from . import geometry_queries, ingest_queries, score_queries, state_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
