@@ -148,6 +148,8 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERA
             ids, parts = np.empty(0, np.int64), np.empty((0, dim))
 
             def out(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+                order = np.argsort(i, kind="stable")
+                i, x = i[order], x[order]
                 codes = known.value.packed(x).tobytes() if with_codes else b""
                 return pa.RecordBatch.from_pydict({"ids": [i.astype("<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "codes": [codes]})
 
@@ -176,7 +178,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERA
             norms = np.linalg.norm(v, axis=1)
             for query_ids, query in queries:
                 near = norms**2 - 2 * norms * q.scan(query, packed)
-                best = np.argpartition(near, rerank, axis=1)[:, :rerank] if len(ids) > rerank else np.tile(np.arange(len(ids)), (len(query), 1))
+                best = np.argsort(near, axis=1, kind="stable")[:, :rerank]  # equal vectors by their ids, as they lie
                 for i, c in enumerate(best):
                     c = c[ids[c] != query_ids[i]]
                     distance = np.sqrt(np.cumsum((v[c] - query[i]) ** 2, axis=1)[:, -1])  # summed from the first component on

@@ -168,6 +168,8 @@ def test_nearest(spark):
     assert len(got) == len(want) and len(set(x[:3] for x in got) & set(x[:3] for x in want)) >= 0.9 * len(want)
     exact = [tuple(r) for r in ann.nearest(table, rerank=1000).collect()]
     assert sorted(exact) == sorted(want)
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 1) for i in range(400, 90, -1)], "vec_id long, embedding array<float>, label int")
+    assert {r.query_id: r.vec_id for r in ann.nearest(same).where("rank = 10").collect()} == {100: 101, 200: 100, 300: 100, 400: 100}
     few = ann.nearest(table.where("vec_id < 4")).collect()
     assert [(r.query_id, r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3)]
     assert ann.nearest(table.limit(0)).count() == 0
