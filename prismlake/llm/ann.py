@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: score-aware anisotropic product quantisation, four-bit table scans, exact reranking.
 
-Vectors are coded in SUB groups of components, each by one of 16 centres. Codebooks and codes minimise a loss
-that weighs the part of the residual which is parallel to the vector ETA times as much as the rest, as only
-that part shifts large inner products. A query's inner products with all centres make SUB tables of 16; two
-neighbouring four-bit codes are scanned at once in a table of 256. The vector's norm turns the inner
-product into a distance. In every block of vectors the best candidates of a query are reranked by exact
-double-precision distances to the original vectors, and the nearest of all blocks are the result.
+A vector is its nearest coarse centre plus a difference. The difference's direction is coded in groups of PAIR
+components, each by one of 16 centres; its length is kept, so that crowded places are coded as finely as they
+are crowded. Codebooks and codes minimise a loss that weighs the part of the residual which is parallel to
+the direction ETA times as much as the rest, as only that part shifts large inner products. A query's inner
+products with all centres make tables of 16; two neighbouring four-bit codes are scanned at once in a table
+of 256. In every block of vectors (which holds equal vectors once for each id that can matter) the best
+candidates of a query are reranked by exact double-precision distances to the original vectors, and the
+nearest of all blocks are the result.
 
 Codebooks are fitted to at most TRAIN_ROWS vectors, those with the least hash of their id; every vector is
 coded and scanned. Queries come in blocks of QUERIES and vectors in blocks of VECTORS, so no task holds more.
@@ -30,32 +32,44 @@ from .common import bounded_batches, map_batches, staged
 
 K, EVERY, ETA = 10, 100, 4.0
 PAIR = 2  # components in a group
-TRAIN_ROWS, ROUNDS = 20_000, 8
+TRAIN_ROWS, ROUNDS, COARSE = 20_000, 8, 64
 QUERIES, VECTORS, RERANK = 256, 4_096, 96
 #: Bytes of queries that are broadcast at once.
 SENT = 8 << 20
 
 
 class Quantiser:
-    """Centres: (groups, 16, PAIR), for vectors scaled to length 1."""
+    """Coarse centres, and for the directions of what vectors differ from theirs by, centres of (groups, 16, PAIR)."""
 
     def __init__(self, train: np.ndarray, eta: float = ETA, seed: int = 3):
         self.dim = train.shape[1]
         self.groups = -(-self.dim // PAIR)
         self.groups += self.groups % 2  # two codes make a byte
         self.eta = eta
-        x = self.split(train)
         rng = np.random.default_rng(seed)
-        pick = rng.integers(0, len(train), (self.groups, 16))
-        self.centres = np.stack([x[pick[g], g] for g in range(self.groups)])
+        self.coarse = train[rng.permutation(len(train))[:COARSE]].copy()
+        for _ in range(ROUNDS):
+            own = self.nearest(train)
+            for c in np.unique(own):
+                self.coarse[c] = train[own == c].mean(axis=0)
+        x = self.split(self.residuals(train)[1])
+        self.centres = np.stack([x[rng.integers(0, len(train), 16), g] for g in range(self.groups)])
         for _ in range(ROUNDS):
             self.update(x, self.codes(x))
 
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        return ((self.coarse**2).sum(axis=1) - 2 * vectors @ self.coarse.T).argmin(axis=1)
+
+    def residuals(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Coarse centre, direction of the difference to it, and the difference's length."""
+        own = self.nearest(vectors)
+        r = vectors - self.coarse[own]
+        size = np.linalg.norm(r, axis=1)
+        return own, r / np.maximum(size, 1e-300)[:, None], size
+
     def split(self, vectors: np.ndarray) -> np.ndarray:
-        """Unit vectors as (n, groups, PAIR), with zeros at the end."""
-        unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        return np.pad(unit, ((0, 0), (0, self.groups * PAIR - self.dim))).reshape(len(vectors), self.groups, PAIR)
+        """Vectors as (n, groups, PAIR), with zeros at the end."""
+        return np.pad(vectors, ((0, 0), (0, self.groups * PAIR - self.dim))).reshape(len(vectors), self.groups, PAIR)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """Codes of least anisotropic loss |r|^2 + (eta - 1) <r, x>^2 by coordinate descent over the groups."""
@@ -93,20 +107,28 @@ class Quantiser:
             chosen[:, g] = new
 
     def packed(self, vectors: np.ndarray) -> np.ndarray:
-        codes = self.codes(self.split(vectors))
+        codes = self.codes(self.split(self.residuals(vectors)[1]))
         return codes[:, ::2] | (codes[:, 1::2] << 4)
 
     def scan(self, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """Approximate inner products (queries, vectors) with unit vectors, by tables for two codes at once."""
-        q = np.pad(queries, ((0, 0), (0, self.groups * PAIR - self.dim))).reshape(len(queries), self.groups, PAIR)
-        table = np.einsum("qgd,gkd->qgk", q, self.centres).astype(np.float32)
+        """Inner products (queries, vectors) with coded directions, by tables for two codes at once."""
+        table = np.einsum("qgd,gkd->qgk", self.split(queries), self.centres).astype(np.float32)
         both = table[:, 1::2, :, None] + table[:, ::2, None, :]  # high four bits, low four bits
-        both = np.ascontiguousarray(both.reshape(len(q), self.groups // 2, 256).transpose(1, 2, 0))
-        out = np.zeros((len(packed), len(q)), np.float32)
+        both = np.ascontiguousarray(both.reshape(len(queries), self.groups // 2, 256).transpose(1, 2, 0))
+        out = np.zeros((len(packed), len(queries)), np.float32)
         for byte in range(self.groups // 2):
             out += both[byte][packed[:, byte]]
         return out.T
 
+    def distances(self, queries: np.ndarray, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Approximate squared distances |q - c|^2 + |r|^2 - 2 <q - c, r> for vectors c + r."""
+        own, _, size = self.residuals(vectors)
+        codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), self.groups)
+        decoded = self.centres[np.arange(self.groups), codes].reshape(len(packed), -1)[:, : self.dim]
+        cross = (self.coarse[own] * decoded).sum(axis=1)
+        far = (queries**2).sum(axis=1)[:, None] - 2 * queries @ self.coarse.T + (self.coarse**2).sum(axis=1)
+        return far[:, own] + size**2 - 2 * size * (self.scan(queries, packed) - cross)
+
 
 def usable(table: DataFrame) -> DataFrame:
     """vec_id and v (doubles) of the vectors that take part, all of the dimension that most have."""
@@ -150,6 +172,13 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERA
             def out(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
                 order = np.argsort(i, kind="stable")
                 i, x = i[order], x[order]
+                if with_codes:
+                    # of equal vectors only the k + 1 smallest ids can be among k nearest others
+                    _, group = np.unique(x, axis=0, return_inverse=True)
+                    by_group = np.argsort(group, kind="stable")
+                    first = np.searchsorted(group[by_group], group[by_group])
+                    keep = np.sort(by_group[np.arange(len(i)) - first <= k])
+                    i, x = i[keep], x[keep]
                 codes = known.value.packed(x).tobytes() if with_codes else b""
                 return pa.RecordBatch.from_pydict({"ids": [i.astype("<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "codes": [codes]})
 
@@ -175,9 +204,8 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERA
             ids = np.frombuffer(row["ids"], "<i8")
             v = np.frombuffer(row["v"], "<f8").reshape(len(ids), dim)
             packed = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-            norms = np.linalg.norm(v, axis=1)
             for query_ids, query in queries:
-                near = norms**2 - 2 * norms * q.scan(query, packed)
+                near = q.distances(query, v, packed)
                 best = np.argsort(near, axis=1, kind="stable")[:, :rerank]  # equal vectors by their ids, as they lie
                 for i, c in enumerate(best):
                     c = c[ids[c] != query_ids[i]]
