@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, map_batches, staged, text_bytes
+from .common import WordHashes, bounded_batches, map_batches, narrowed, staged, text_bytes
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
@@ -42,7 +42,7 @@ SLOTS = CHUNKS * WIDTH
 #: A pair with more differing slots isn't confirmed; a pair of similarity 0.75 has so many with probability 5e-7.
 MOST_DIFFERENT = 24
 #: Classes in a block of a large bucket, followers that go with one copy of their leader, classes in a block of a family.
-BLOCK, FOLLOWERS, MEMBERS = 512, 64, 256
+BLOCK, FOLLOWERS, MEMBERS = 2048, 64, 256
 
 _rng = np.random.default_rng(20_240_501)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,12 +150,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = staged(pairs.distinct(), "pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     pairs = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FOLLOWERS)).cast("long"))
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    leads = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id"))
-    follow = pairs.join(texts, F.col("b") == F.col("doc_id"))
-    rows = leads.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(
-        follow.select("a", "part", F.lit(1).alias("role"), "b", "text")
-    )
+    leads = pairs.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
+    rows = staged(leads.unionByName(pairs.select("a", "part", F.lit(1).alias("role"), "b")), "roles")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("b"), "text")
+    rows = rows.join(narrowed(texts, "b", rows.select("b")), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
@@ -277,7 +275,7 @@ def family_links(kin: DataFrame, comps: DataFrame, docs: DataFrame, percent: int
     sides = two.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = dealt.select("family", "cid", "comp", "block").join(sides, ["family", "block"])
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text")
-    rows = rows.join(texts, "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    rows = rows.join(narrowed(texts, "cid", dealt.select("cid")), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
