@@ -176,3 +176,18 @@ def pixel_auroc_exact(spark, sf_dir):
     rows = heat.join(gt, ["r", "c"]).withColumn("s", F.col("v") + (F.col("r") * 7 + F.col("c")) % 5)
     t = metrics.thresholds(rows, "s", F.col("y"))
     return t.agg(F.round(metrics.auroc(), 6).alias("auroc"), F.sum("p").alias("n_positive"), F.sum(F.col("p") + F.col("n")).alias("n_pixels"))
+
+
+@query(f"""WITH heat AS ({_GRID}), gt AS (SELECT r, c, (v > 28)::INTEGER AS y FROM heat WHERE r > 1)
+  SELECT h.r, h.c, h.v, y FROM heat h JOIN gt USING (r, c)""")
+def gt_pixel_join(spark, sf_dir):
+    """Ground truth and heatmap by pixel; images without ground truth are left out."""
+    heat = table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("r"), (F.col("event_id") % 16).cast("int").alias("c")).agg(F.count("*").cast("double").alias("v"))
+    return heat.join(heat.where("r > 1").select("r", "c", (F.col("v") > 28).cast("int").alias("y")), ["r", "c"])
+
+
+@query("""SELECT 'train' AS split, o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'test', o_orderkey FROM orders WHERE o_orderstatus <> 'O'""")
+def union_splits(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    part = lambda name, rows: rows.select(F.lit(name).alias("split"), F.col("o_orderkey").alias("id"))
+    return part("train", orders.where("o_orderstatus = 'O'")).unionAll(part("test", orders.where("o_orderstatus <> 'O'")))

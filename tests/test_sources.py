@@ -57,3 +57,19 @@ def test_npy(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6, dtype=np.float16).reshape(2, 3))
     r = images.npy_files(spark, str(tmp_path)).first()
     assert r["shape"] == [2, 3] and r["data"] == [0, 1, 2, 3, 4, 5]
+
+
+def test_exports(spark, tmp_path):
+    from prismlake.sources import exports
+
+    masks = spark.createDataFrame([("test", "good", "1_00", 2, 3, bytearray([0, 1, 0, 1, 1, 0]))], "split string, label string, instance_id string, h int, w int, mask binary")
+    maps = spark.createDataFrame([("test", "good", "1", 1, 2, [0.5, 1.0])], "split string, label string, stem string, h int, w int, data array<float>")
+    exports.write_files(exports.mask_files(masks), str(tmp_path))
+    exports.write_files(exports.heatmap_files(maps), str(tmp_path))
+    read = spark.read.format("image").load(str(tmp_path / "masks/test/good/1_00.png")).select("image.data").first()[0]
+    assert list(read) == [0, 255, 0, 255, 255, 0]
+    assert np.load(tmp_path / "heatmaps/refined/test/good/1.npy").tolist() == [[0.5, 1.0]]
+    exports.write_csv(spark.createDataFrame([("a", None, [1, 2])], "id string, s string, size array<int>"), str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first()[:] == ("a", None, "[1,2]")
+    bank = spark.createDataFrame([(2, "b"), (1, "c"), (2, "b")], "rank int, instance_id string")
+    assert [r[0] for r in exports.bank_list(bank).collect()] == ["c", "b"]
