@@ -76,35 +76,40 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 BLOOM_BITS, BLOOM_HASHES = 1 << 28, 4
 
 
-def narrowed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows that may have one of the ids, before a join with them shuffles all rows: a superset, by a Bloom filter.
+class Bloom:
+    """Which rows may have one of some ids, decided before a join with the ids shuffles all rows.
 
     The filter has 16 bits for each id and at most BLOOM_BITS; beyond that it lets more pass, never less.
     """
-    spark = rows.sparkSession
-    ids = ids.select(ids[ids.columns[0]].alias("id"))
-    count = ids.agg(F.approx_count_distinct("id")).first()[0]
-    bits = min(BLOOM_BITS, 1 << max(10, (16 * count).bit_length()))
 
-    def places(c: str) -> list:
-        return [F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) for i in range(BLOOM_HASHES)]
-
-    words = ids.select(F.explode(F.array(*places("id"))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    found = words.toArrow()  # at most bits / 64 numbers
-    table = np.zeros(bits // 64, np.int64)
-    table[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    sent = spark.sparkContext.broadcast(table)
-    names, columns = [f"_p{i}" for i in range(BLOOM_HASHES)], rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for n in names:
-                p = batch.column(n).to_numpy()
-                hit &= (sent.value[p >> 6] >> (p & 63) & 1).astype(bool)
-            yield batch.filter(pa.array(hit)).select(columns)
-
-    return rows.select("*", *(p.alias(n) for p, n in zip(places(key), names))).mapInArrow(run, rows.schema)
+    def __init__(self, ids: DataFrame):
+        spark = ids.sparkSession
+        ids = ids.select(ids[ids.columns[0]].alias("id"))
+        count = ids.agg(F.approx_count_distinct("id")).first()[0]
+        self.bits = min(BLOOM_BITS, 1 << max(10, (16 * count).bit_length()))
+        places = ids.select(F.explode(F.array(*self._places("id"))).alias("p"))
+        words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+        found = words.toArrow()  # at most bits / 64 numbers
+        table = np.zeros(self.bits // 64, np.int64)
+        table[found.column("w").to_numpy()] = found.column("b").to_numpy()
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def _places(self, c: str) -> list:
+        return [F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.bits)) for i in range(BLOOM_HASHES)]
+
+    def rows(self, rows: DataFrame, key: str, hit: bool = True) -> DataFrame:
+        """The rows that may have one of the ids, or those that have none."""
+        names, columns, sent = [f"_p{i}" for i in range(BLOOM_HASHES)], rows.columns, self.sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                may = np.ones(batch.num_rows, bool)
+                for n in names:
+                    p = batch.column(n).to_numpy()
+                    may &= (sent.value[p >> 6] >> (p & 63) & 1).astype(bool)
+                yield batch.filter(pa.array(may == hit)).select(columns)
+
+        return rows.select("*", *(p.alias(n) for p, n in zip(self._places(key), names))).mapInArrow(run, rows.schema)
 
 
 class WordHashes(dict):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, loaded
-from .common import bounded_batches, map_batches
+from .common import Bloom, bounded_batches, map_batches, staged
 
 LEAF, CONTEXT = 64, 4
 
@@ -139,7 +139,11 @@ def edited_counts(docs: DataFrame, edits: DataFrame, ranks: bytes, pattern: str)
     of_doc = ok.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("seq", "start", "stop")), F.coalesce("text", F.lit("")).alias("text")))).alias("edits")
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(of_doc, "doc_id", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    of_doc = staged(of_doc, "edits")
+    may = Bloom(of_doc.select("doc_id"))  # documents without edits needn't be shuffled
+    edited = may.rows(docs, "doc_id").join(of_doc, "doc_id", "left")
+    plain = may.rows(docs, "doc_id", hit=False).withColumn("edits", F.lit(None).cast(of_doc.schema["edits"].dataType))
 
     def count(batch: pa.RecordBatch) -> dict:
         bpe = loaded(spread.value, pattern)
@@ -158,7 +162,7 @@ def edited_counts(docs: DataFrame, edits: DataFrame, ranks: bytes, pattern: str)
                 column.append(v)
         return {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded"), out))
 
-    return map_batches(rows, count, _RESULT)
+    return map_batches(edited, count, _RESULT).unionByName(map_batches(plain, count, _RESULT))
 
 
 #: What a redaction replaces: mail addresses, web addresses, network addresses, and long numbers.

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, map_batches, narrowed, staged, text_bytes
+from .common import Bloom, WordHashes, bounded_batches, map_batches, staged, text_bytes
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS = 10, 4, 1
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     leads = pairs.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
     rows = staged(leads.unionByName(pairs.select("a", "part", F.lit(1).alias("role"), "b")), "roles")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("b"), "text")
-    rows = rows.join(narrowed(texts, "b", rows.select("b")), "b")
+    rows = rows.join(Bloom(rows.select("b")).rows(texts, "b"), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
@@ -275,7 +275,7 @@ def family_links(kin: DataFrame, comps: DataFrame, docs: DataFrame, percent: int
     sides = two.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = dealt.select("family", "cid", "comp", "block").join(sides, ["family", "block"])
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text")
-    rows = rows.join(narrowed(texts, "cid", dealt.select("cid")), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    rows = rows.join(Bloom(dealt.select("cid")).rows(texts, "cid"), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
