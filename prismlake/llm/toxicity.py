@@ -69,14 +69,11 @@ class Linear:
         self.fitted = 0 < self.constant < 1
         if not self.fitted:
             return
-        every = np.concatenate(rows)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        names, slot = np.unique(every, return_inverse=True)
-        n, pos = np.bincount(slot), np.bincount(slot, y[owner])
+        n, pos = _counts(rows), _counts([r for r, t in zip(rows, y) if t])
         ratio = np.abs(np.log((pos + 0.5) / (y.sum() + 1)) - np.log((n - pos + 0.5) / ((1 - y).sum() + 1)))
         telling = np.where(n >= LEAST_ROWS, ratio * np.sqrt(n), 0)
         best = np.sort(np.argsort(-telling, kind="stable")[:INPUTS])
-        self.chosen = names[best][telling[best] > 0]
+        self.chosen = best[telling[best] > 0]
         kept = [self.places(r) for r in rows]
         logits = _logit(earlier)
         rng, count = np.random.default_rng(seed), len(self.chosen)
@@ -109,6 +106,14 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows that have each bucket, some hundred rows at a time."""
+    out = np.zeros(BUCKETS)
+    for i in range(0, len(rows), 500):
+        out += np.bincount(np.concatenate(rows[i : i + 500]), minlength=BUCKETS)
+    return out
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -150,7 +155,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain:
     known = map_batches(labelled(docs, labels, ["quality", "toxic"], most), features, "doc_id long, quality int, toxic int, row binary")
     t = known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).orderBy("doc_id", "row", "quality", "toxic").toArrow()
     junk, toxic = 1 - t.column("quality").to_numpy(), t.column("toxic").to_numpy()
-    rows = [np.frombuffer(r, "<i4").astype(np.int64) for r in t.column("row").to_pylist()]
+    rows = [np.frombuffer(r, "<i4") for r in t.column("row").to_pylist()]
     return Chain(rows, np.column_stack([junk, toxic, junk * toxic]), t.column("fold").to_numpy())
 
 
