@@ -8,7 +8,8 @@ places where those may be: a key is a chunk without ERRORS of its slots. So ever
 shares a key. Two sets with a similarity of 0.75 differ in more than ERRORS slots of one chunk with
 probability 0.262, in all ten chunks with 1.5e-6; for higher similarities much less.
 
-Keys only propose. Equal sets are first folded into one class, named by its smallest doc_id. In each bucket
+Keys only propose. Equal sets are first folded into one class, named by the 64-bit hash of one of its rows (id
+and text), so that texts without an id, or with the id of another text, take part as well. In each bucket
 every class is then held against the bucket's first and last class (linear in the bucket), survivors are
 confirmed on the full shingle sets, and confirmed links are contracted to components. What is left are
 buckets that hold several components. Of their pairs that are near in signature only a spanning forest
@@ -18,9 +19,8 @@ group of copies is ever expanded into pairs, and no candidate is dropped.
 
 Defined results: a null or wordless text has no shingles and no links; a null doc_id takes part through its
 text and has its component, or null (and is kept) where no row with an id is in it; rows that share a doc_id
-but not their text are judged by their own texts, which count as linked where that id names both texts'
-classes; repeated rows are repeated in the result; an empty table gives an empty one; other columns are not
-read.
+but not their text are judged by their own texts; repeated rows are repeated in the result; an empty table
+gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bloom, WordHashes, bounded_batches, map_batches, staged, text_bytes
@@ -99,6 +99,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     return {
         "doc_id": batch.column(0),
+        "row": batch.column(2),
         "n_shingles": [len(s) for s in sets],
         "d1": [int.from_bytes(d[:8], "little", signed=True) for d in digest],
         "d2": [int.from_bytes(d[8:], "little", signed=True) for d in digest],
@@ -142,6 +143,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of each class, and some others' texts that pass the Bloom filter; repeated rows' texts once."""
+    name = classes.columns[0]
+    return Bloom(classes).rows(docs.select(F.col("row").alias(name), "text"), name).dropDuplicates([name])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose full sets are linked.
 
@@ -152,8 +163,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FOLLOWERS)).cast("long"))
     leads = pairs.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
     rows = staged(leads.unionByName(pairs.select("a", "part", F.lit(1).alias("role"), "b")), "roles")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("b"), "text")
-    rows = rows.join(Bloom(rows.select("b")).rows(texts, "b"), "b")
+    rows = rows.join(texts_of(rows.select("b"), docs), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return rows.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
@@ -274,8 +284,7 @@ def family_links(kin: DataFrame, comps: DataFrame, docs: DataFrame, percent: int
     two = blocks.toDF("family", "i", "p").join(blocks.toDF("family", "j", "q"), "family").where("i <= j AND NOT coalesce(p = q, false)").select("family", "i", "j")
     sides = two.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = dealt.select("family", "cid", "comp", "block").join(sides, ["family", "block"])
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("cid"), "text")
-    rows = rows.join(Bloom(dealt.select("cid")).rows(texts, "cid"), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    rows = rows.join(texts_of(dealt.select("cid"), docs), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
@@ -307,20 +316,22 @@ def components(edges: DataFrame) -> DataFrame:
     return label.union(label.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """Per document doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is that one).
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Per document doc_id, row (hash of id and text), n_shingles, group (null without shingles; the same for what
+    is linked, at any remove) and component_id (smallest doc_id of the group, or its own without shingles).
 
     Two documents are linked when 100 * |both sets| >= percent * |either set|.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(map_batches(docs, _sketch, "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sets")
+    docs = docs.withColumn("row", row_hash())
+    sets = staged(map_batches(docs, _sketch, "doc_id long, row long, n_shingles long, d1 long, d2 long, sig binary"), "sets")
 
     same = ["d1", "d2", "n_shingles"]
-    names = staged(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("cid")), "classes")
-    members = names.where("cid is not null").select("cid", *same)
+    names = staged(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cid"), F.min("doc_id").alias("id")), "classes")
+    members = names.select("cid", *same)
     classes = staged(
-        sets.where("n_shingles > 0").join(members.withColumnRenamed("cid", "doc_id"), ["doc_id", *same]).groupBy(F.col("doc_id").alias("cid"), *same).agg(F.first("sig").alias("sig")),
+        sets.where("n_shingles > 0").join(members.withColumnRenamed("cid", "row"), ["row", *same]).groupBy(F.col("row").alias("cid"), *same).agg(F.first("sig").alias("sig")),
         "signatures",
     )
 
@@ -355,7 +366,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = family_links(kin, comps, docs, percent)
     comps = staged(components(links.union(more)), "components")
 
-    classed = sets.join(names, same, "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "cid")).otherwise(F.col("doc_id"))
-    result = classed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"))
+    smallest = names.join(comps.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("least"))
+    named = names.join(comps.join(smallest, "comp").withColumnRenamed("node", "cid"), "cid", "left")
+    named = named.select(*same, F.coalesce("comp", "cid").alias("group"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return sets.join(named, same, "left").select("doc_id", "row", F.col("n_shingles").cast("long").alias("n_shingles"), "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """Per document doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is that one)."""
+    result = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -66,6 +66,19 @@ def test_near_duplicates_repeated_rows_and_empty(documents):
     assert neardup.near_duplicates(documents([])).count() == 0
 
 
+def test_near_copies_without_id(documents):
+    """Texts without an id link and bridge; of texts that share an id each is judged by itself."""
+    rng = random.Random(8)
+    words = sentence(rng, 350).split()
+    moved = [" ".join(words[k : k + 300]) for k in (0, 25, 50)]  # only neighbours are linked
+    alone, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(8, moved[0]), (None, moved[1]), (None, moved[1]), (9, moved[2]), (None, alone), (None, alone + " z"), (20, alone[::-1]), (20, other), (7, other + " z")]
+    sets, comps = brute_components(rows)
+    assert comps == [8, 8, 8, 8, None, None, 20, 7, 7]
+    got = neardup.near_duplicates(documents(rows)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((i, len(s), c, i == c)) for (i, _), s, c in zip(rows, sets, comps))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(500, x) for x in range(501, 540)]
