@@ -22,9 +22,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """One row, one of the smallest doc_id (null where none has an id), of each group of near duplicates.
+
+    Rows without words are in no group; of those with the same id and text one is kept. Of repeated rows whose
+    other columns differ the one with the least values, nulls first, is kept.
+    """
+    found = neardup.grouped(docs)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    words = found.where("n_shingles > 0").groupBy("group").agg(least).select("least.doc_id", "least.row")
+    kept = words.unionByName(found.where("n_shingles = 0").select("doc_id", "row").distinct()).toDF("kept_id", "row")
+    rest = F.struct(*(c for c in COLUMNS if c not in ("doc_id", "text"))).alias("rest")
+    rows = docs.groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).withColumn("kept_row", neardup.row_hash())
+    same = rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["kept_row"] == kept["row"])
+    return rows.join(kept, same, "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,24 @@ def test_run_and_odd_rows(spark, tmp_path):
         assert corpus_pipeline.run(spark, folder).count() <= len(content)
 
 
+def test_repeated_rows_survive_once(spark):
+    """Of each group of near copies one row is left, with its text, also where ids or rows are repeated or null."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = {k: " ".join(f"{k}{i}" for i in range(200)) for k in "abcde"}
+    rows = [(2, "a"), (2, "a"), (None, "a"), (None, "b"), (None, "b"), (None, "c"), (4, "c"), (5, "d"), (5, "e")]
+    rows = [(i, text[k]) for i, k in rows] + [(None, text["a"] + " more"), (None, text["b"] + " more"), (6, ""), (6, ""), (7, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], schema)
+    second = corpus_pipeline.one_of_each(spark, docs, SF)
+    assert second.columns == corpus_pipeline.COLUMNS and second.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in second.collect()), key=str)
+    b = next(t for i, t in got if i is None and t)  # of the copies without any id either
+    assert b.startswith(text["b"])
+    want = sorted([(2, text["a"]), (None, b), (4, text["c"]), (5, text["d"]), (5, text["e"]), (6, ""), (7, ""), (None, None)], key=str)
+    assert got == want
+    third = corpus_pipeline.without_repeats(spark, second, SF)
+    assert sorted(((r.doc_id, r.text or "") for r in third.collect()), key=str) == sorted(((i, t or "") for i, t in want), key=str)
+
+
 def test_entry():
     found = __spark_entry__.queries()
     assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 11))
