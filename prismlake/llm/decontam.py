@@ -100,6 +100,7 @@ class Segment:
         self.first = np.frombuffer(row["first"], "<i4").astype(np.int64)
         self.ends = np.concatenate([self.first[1:], [len(row["steps"]) // 4]])
         self.steps = np.frombuffer(row["steps"], "<i4")
+        self.opened: dict[int, np.ndarray] = {}  # at most the segment's tokens
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of terms, -1 for those that the segment lacks."""
@@ -108,7 +109,9 @@ class Segment:
         return np.where(self.terms[at] == hashes, at, -1) if len(self.terms) else np.full(len(hashes), -1)
 
     def places(self, term: int) -> np.ndarray:
-        return np.cumsum(self.steps[self.first[term] : self.ends[term]], dtype=np.int64)
+        if term not in self.opened:
+            self.opened[term] = np.cumsum(self.steps[self.first[term] : self.ends[term]], dtype=np.int64)
+        return self.opened[term]
 
     def exact(self, terms: np.ndarray) -> np.ndarray:
         """Positions at which the terms follow one another."""
@@ -129,7 +132,20 @@ class Segment:
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
         """Positions of the first term from which all others follow in order with at most slop words in between."""
         slop = min(slop, GAP - len(terms) - 1)
-        start = at = self.places(terms[0])
+        # places less offsets lie in a match within slop of each other: what the rarest terms rule out isn't followed
+        order = np.argsort(self.ends[terms] - self.first[terms], kind="stable")
+        about = self.places(terms[order[0]]) - order[0]
+        for k in order[1:]:
+            other = self.places(terms[k])
+            at = np.searchsorted(other, about + (k - slop))
+            at[at == len(other)] = 0
+            about = about[np.abs(other[at] - k - about) <= slop]
+            if not len(about):
+                return about
+        start = self.places(terms[0])
+        k = np.searchsorted(about, start)
+        k[k == len(about)] = 0
+        start = at = start[(about[k] >= start) & (about[k] - start <= slop)]
         for t in terms[1:]:
             other = self.places(t)
             k = np.searchsorted(other, at, side="right")

@@ -30,8 +30,12 @@ def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Other words that a proximity match may have in between.
+SLOP = 2
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

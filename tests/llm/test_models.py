@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from prismlake.llm import ann, decontam, quality, toxicity
+from prismlake.llm import ann, decontam, quality, queries, toxicity
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -45,6 +45,42 @@ def test_contamination(spark, documents, most):
     assert len(clean) == len(rows) and not any(r.n_items or r.contaminated for r in clean)
 
 
+def brute_near(rows, items, slop):
+    find = lambda t: WORD.findall((t or "").encode().lower())
+    for _, t in rows:
+        w, near = find(t), set()
+        for i, x in items:
+            x = find(x)
+            n = min(8, len(x))
+            for k in range(len(x) - n + 1 if x else 0):
+                for start in (s for s in range(len(w)) if w[s] == x[k]):
+                    at = start
+                    for word in x[k + 1 : k + n]:
+                        at = next((p for p in range(at + 1, len(w)) if w[p] == word), len(w) + slop + n)
+                    if at - start <= n - 1 + slop:
+                        near.add(i)
+        yield len(near)
+
+
+def test_query_has_proximity(spark, documents, tmp_path):
+    """The registered query finds windows with words put in, and its exact columns are those of brute force."""
+    rng = random.Random(11)
+    words = lambda n: [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate((8, 9, 20, 3, 30, 12))]
+    rows = []
+    for i in range(60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            w.insert(rng.randint(0, len(w)), rng.choice(["new", "a", "bb"]))
+        rows.append((i, " ".join(words(rng.randint(0, 30)) + w + words(3))))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r) for r in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    exact = list(brute_hits(rows, items))
+    assert got == {r[0]: (*r, n) for r, n in zip(exact, brute_near(rows, items, 2))}
+    assert any(r[6] > r[3] for r in got.values()) and any(r[6] < len(items) for r in got.values())
+
+
 def test_proximity(spark, documents):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     rows = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "alpha x y z beta gamma delta"), (4, "delta gamma beta alpha"), (5, "alpha alpha beta beta gamma delta")]
