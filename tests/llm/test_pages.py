@@ -44,6 +44,21 @@ def test_wrapper_without_article(spark):
     assert got[2].text == f"Head 2\n\n{('body ' * 20).strip()} 2\n\nsecond 2"
 
 
+def own_text(html):
+    root = htmlwrap.parse(html)
+    return htmlwrap.main_text(root, set(htmlwrap.content_paths(htmlwrap.wrapper(root))))[0]
+
+
+def test_class_words_of_layouts():
+    """Words of a template's layout don't make the page, its main part or its article boilerplate."""
+    text = "<h1>T</h1><p>text</p>"
+    for body in ("has-sidebar", "right-sidebar", "banner", "with_comments share"):
+        assert own_text(f'<html class="has-menu"><body class="{body}"><div>{text}</div></body></html>') == "T\n\ntext"
+        assert own_text(f'<body class="{body}"><main class="{body}"><article class="post has-comments">{text}</article></main></body>') == "T\n\ntext"
+    assert own_text(f'<body><div class="no-sidebar layout-sidebar">{text}</div></body>') == "T\n\ntext"
+    assert own_text('<body><p>text</p><div class="site-footer">f</div><div id="main-nav">n</div><div class="widget">w</div><div role="banner">b</div></body>') == "text"
+
+
 def test_wrapper_expression():
     one = htmlwrap.wrapper(htmlwrap.parse("<div><h1>a</h1><p>x</p><p>y</p></div>"))
     two = htmlwrap.wrapper(htmlwrap.parse("<div><h1>a</h1><table><tr><td>1</td></tr></table><p>z</p></div>"))
