@@ -55,10 +55,29 @@ def test_class_words_of_layouts():
     for body in ("has-sidebar", "right-sidebar", "banner", "with_comments share"):
         assert own_text(f'<html class="has-menu"><body class="{body}"><div>{text}</div></body></html>') == "T\n\ntext"
         assert own_text(f'<body class="{body}"><main class="{body}"><article class="post has-comments">{text}</article></main></body>') == "T\n\ntext"
-    assert own_text(f'<body><div class="no-sidebar layout-sidebar">{text}</div></body>') == "T\n\ntext"
+    assert own_text(f'<body><div class="no-sidebar"><p>text</p></div><div class="layout-sidebar">{text}</div></body>') == "text\n\nT\n\ntext"
     assert own_text('<body><p>text</p><div class="site-footer">f</div><div id="main-nav">n</div><div class="widget">w</div><div role="banner">b</div></body>') == "text"
 
 
+def hosted(spark, make):
+    return htmlwrap.extract(pages(spark, [(i, f"http://h.net/{i}", make(i)) for i in range(4)])).orderBy("page_id").collect()[2].text
+
+
+def test_whole_text_without_article(spark):
+    """Headline, lead and text in other containers than the largest are main text too."""
+    nav = "<nav><p>Home</p></nav><div><p>The same on all pages</p></div>"
+    body = "body " * 20
+    makers = [
+        lambda i: f"<body>{nav}<div class=post><h1>T {i}</h1><div class=entry><p>{body}{i}</p></div></div></body>",
+        lambda i: f"<body>{nav}<div id=content><h1>T {i}</h1><section><p>{body}{i}</p></section></div></body>",
+        lambda i: f"<body>{nav}<div class=a><h1>T {i}</h1></div><div class=b><div class=c><p>{body}{i}</p></div></div></body>",
+        lambda i: f"<body>{nav}<div class=story><h2>T 2</h2><div><p>{body}{i}</p></div></div></body>",
+        lambda i: f"<body>{nav}<p>Seen {i} times</p><div role=main><h1>T {i}</h1><div><p>{body}{i}</p></div></div></body>",
+    ]
+    for make in makers:
+        assert hosted(spark, make) == f"T 2\n\n{body}2"
+
+
 def test_wrapper_expression():
     one = htmlwrap.wrapper(htmlwrap.parse("<div><h1>a</h1><p>x</p><p>y</p></div>"))
     two = htmlwrap.wrapper(htmlwrap.parse("<div><h1>a</h1><table><tr><td>1</td></tr></table><p>z</p></div>"))
