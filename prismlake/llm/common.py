@@ -1,8 +1,9 @@
-"""Helpers shared by the text operators: shared scratch tables, Arrow batch limits, word hashing."""
+"""Helpers shared by the text operators: shared scratch tables, Arrow batch limits, filters, skewed joins, word hashing."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,22 +14,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_scratch: dict[int, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application below the cluster's spark.checkpoint.dir.
+    """A folder of this application below the cluster's spark.checkpoint.dir, or its context's checkpoint folder.
 
-    Only where that setting is absent (local tests) a temporary folder takes its place.
-    The folder is removed when the Python driver ends.
+    Without either a local session takes a temporary folder; on a cluster that is an error, as a folder of one
+    machine is not seen by the others. The folder is removed when the Python driver ends.
     """
-    key = id(spark.sparkContext)
-    if key not in _scratch:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        base = shared or "file://" + tempfile.mkdtemp(prefix="prismlake-")
-        _scratch[key] = f"{base.rstrip('/')}/prismlake-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _scratch[key])
-    return _scratch[key]
+    context = spark.sparkContext
+    if context.applicationId not in _scratch:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="prismlake-")
+        _scratch[context.applicationId] = f"{shared.rstrip('/')}/prismlake-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _scratch[context.applicationId])
+    return _scratch[context.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -49,7 +53,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Limit what one Arrow batch hands to a Python worker, so that long texts don't add up."""
+    """Limit what one Arrow batch hands to a Python worker, so that long texts don't add up.
+
+    The limits are the session's from then on: plans run after the operator has returned, so they can't be taken back.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -68,10 +75,40 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=False) for f in target], schema=target
                 )
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand what a task has freed back to the system: its worker lives on and will serve other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+#: Rows of one key from which on it is hot, and the most hot keys that are broadcast.
+HOT, MOST_HOT = 2_000, 10_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], how: str = "inner", small: str = "true") -> DataFrame:
+    """rows joined (inner or left) with counted: a table with one row for each key, and in `many` how many rows have it.
+
+    Hot keys' rows stay where they are and get their key's row by broadcast; the others are shuffled. A key is hot
+    with more than HOT rows and more than one in MOST_HOT of all, so at most MOST_HOT rows are broadcast; `small`
+    is a condition on counted that bounds such a row's size, for those with arrays.
+    """
+    total, most = counted.agg(F.sum("many"), F.max("many")).first()
+    limit = max(HOT, (total or 0) // MOST_HOT)
+    if (most or 0) <= limit:
+        return rows.join(counted, keys, how)
+    is_hot = (F.col("many") > limit) & F.expr(small)
+    hot = counted.where(is_hot)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(~is_hot), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 #: Bits of the largest Bloom filter (32 MB) and hashes of an id.
 BLOOM_BITS, BLOOM_HASHES = 1 << 28, 4
 
@@ -97,36 +134,31 @@ class Bloom:
     def _places(self, c: str) -> list:
         return [F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.bits)) for i in range(BLOOM_HASHES)]
 
+    def asked(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows with the columns that test() needs."""
+        return rows.select("*", *(p.alias(f"_p{i}") for i, p in enumerate(self._places(key))))
+
+    def test(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Which rows of a batch may have one of the ids."""
+        may = np.ones(batch.num_rows, bool)
+        for i in range(BLOOM_HASHES):
+            p = batch.column(f"_p{i}").to_numpy()
+            may &= (self.sent.value[p >> 6] >> (p & 63) & 1).astype(bool)
+        return may
+
     def rows(self, rows: DataFrame, key: str, hit: bool = True) -> DataFrame:
         """The rows that may have one of the ids, or those that have none."""
-        names, columns, sent = [f"_p{i}" for i in range(BLOOM_HASHES)], rows.columns, self.sent
+        columns = rows.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                may = np.ones(batch.num_rows, bool)
-                for n in names:
-                    p = batch.column(n).to_numpy()
-                    may &= (sent.value[p >> 6] >> (p & 63) & 1).astype(bool)
-                yield batch.filter(pa.array(may == hit)).select(columns)
-
-        return rows.select("*", *(p.alias(n) for p, n in zip(self._places(key), names))).mapInArrow(run, rows.schema)
-
-
-class WordHashes(dict):
-    """Word (bytes) to 64-bit xxhash, remembered up to a fixed number of words."""
+                yield batch.filter(pa.array(self.test(batch) == hit)).select(columns)
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
+        return self.asked(rows, key).mapInArrow(run, rows.schema)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def text_bytes(value: str | None) -> bytes:

@@ -34,8 +34,7 @@ class TokenTree:
     def __init__(self, bpe: Bpe, text: str):
         self.bpe, self.text, self.encoded = bpe, text, 0
         pieces = bpe.pattern.findall(text)
-        known = {p: len(bpe.piece.encode_ordinary(p)) for p in set(pieces)}
-        self._plant([len(p) for p in pieces], [known[p] for p in pieces])
+        self._plant([len(p) for p in pieces], [bpe.count(p) for p in pieces])
 
     def _plant(self, sizes: list[int], counts: list[int]) -> None:
         self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(sizes), LEAF)] or [([], [])]
@@ -96,7 +95,7 @@ class TokenTree:
                 break
             end = self.bpe.pattern.match(self.text, at).end()
             sizes.append(end - at)
-            counts.append(len(self.bpe.piece.encode_ordinary(self.text[at:end])))
+            counts.append(self.bpe.count(self.text[at:end]))
             self.encoded += end - at
             at = end
         else:
@@ -165,8 +164,9 @@ def edited_counts(docs: DataFrame, edits: DataFrame, ranks: bytes, pattern: str)
     return map_batches(edited, count, _RESULT).unionByName(map_batches(plain, count, _RESULT))
 
 
-#: What a redaction replaces: mail addresses, web addresses, network addresses, and long numbers.
-PRIVATE = re.compile(r"(?P<MAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<URL>https?://\S+)|(?P<IP>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<NUMBER>\+?\d[\d ()-]{6,}\d)")
+#: What a redaction replaces: mail addresses, web addresses, network addresses, and long numbers. An address's name
+#: begins where its run of characters does and is taken whole, so that a long word is read once.
+PRIVATE = re.compile(r"(?P<MAIL>(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++)|(?P<URL>https?://\S+)|(?P<IP>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<NUMBER>\+?\d[\d ()-]{6,}\d)")
 
 
 def redactions(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from prismlake.llm import bpe, editcount
+from prismlake.llm import bpe, common, editcount, queries
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 PATTERN = public_tokenizers.PATTERN
@@ -48,7 +49,7 @@ def test_table(documents, whole):
     rng = random.Random(2)
     long = text(rng, 900)
     rows = [(1, None), (2, ""), (None, "null id"), (3, "tie"), (3, "tie"), (4, long), (4, long), (5, text(rng, 900))]
-    got = bpe.encode_documents(documents(rows), RANKS, PATTERN, chunk=200, overlap=64)
+    got = bpe.encode_documents(documents(rows), RANKS, PATTERN, chunk=200, overlap=64, spread=400)
     want = []
     for i, t in rows:
         ids = np.array(whole.encode_ordinary(t or ""), "<u4").tobytes()
@@ -59,6 +60,34 @@ def test_table(documents, whole):
     assert bpe.encode_documents(documents([]), RANKS, PATTERN).count() == 0
 
 
+def test_hot_long_text(documents, whole, monkeypatch):
+    """Copies of a long text are encoded once and get its result without meeting in one task."""
+    monkeypatch.setattr(common, "HOT", 5)
+    rng = random.Random(5)
+    hot, other = (" ".join(text(rng, 9) for _ in range(300)) for _ in range(2))
+    rows = [(None if i % 2 else i, hot) for i in range(12)] + [(50, other), (51, hot[:-1])]
+    got = bpe.encode_documents(documents(rows), RANKS, PATTERN, chunk=100, overlap=30, spread=500, with_ids=True).collect()
+    assert sorted(str((r.doc_id, r.n_tokens)) for r in got) == sorted(str((i, len(whole.encode_ordinary(t)))) for i, t in rows)
+    assert {bytes(r.ids) for r in got if r.doc_id == 51} == {np.array(whole.encode_ordinary(hot[:-1]), "<u4").tobytes()}
+
+
+def test_given_documents(whole, spark):
+    """The query's own sizes on whole texts; most characters are those of texts of several chunks."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_byte_bpe(spark, folder).collect()}
+    ids = {i: np.array(whole.encode_ordinary(t), "<u4").tobytes() for i, t in texts.items()}
+    assert got == {i: (len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()) for i, x in ids.items()}
+    assert sum(len(t) for t in texts.values() if len(t) > bpe.CHUNK) > 0.5 * sum(map(len, texts.values()))
+
+
+@pytest.mark.parametrize("piece", ["a", "a@", "a.b-", "1-", "1 (", "+", "http://", "1.2.3."])
+def test_redactions_read_long_words_once(piece):
+    began = time.time()
+    list(editcount.PRIVATE.finditer(piece * 200_000))
+    assert time.time() - began < 10
+
+
 def test_edits_equal_new_text(whole):
     own, rng = bpe.Bpe(RANKS, PATTERN), random.Random(3)
     for k in range(300):
