@@ -3,19 +3,19 @@
 A document is the set of its distinct word shingles. Its signature holds SLOTS minimum hashes of 16 bits
 each; the distance of two signatures is the number of slots in which they differ. Signatures are split into
 CHUNKS runs of WIDTH slots. By the pigeonhole principle two signatures with a distance of at most
-CHUNKS * (ERRORS + 1) - 1 = 19 have a chunk with at most ERRORS differences, and the index enumerates all
+CHUNKS * (ERRORS + 1) - 1 = 23 have a chunk with at most ERRORS differences, and the index enumerates all
 places where those may be: a key is a chunk without ERRORS of its slots. So every pair within the distance
 shares a key. Two sets with a similarity of 0.75 differ in more than ERRORS slots of one chunk with
-probability 0.262, in all ten chunks with 1.5e-6; for higher similarities much less.
+probability 0.262, in all twelve chunks with 1.0e-7; for higher similarities much less.
 
-Keys only propose. Equal sets are first folded into one class, named by the 64-bit hash of one of its rows (id
-and text), so that texts without an id, or with the id of another text, take part as well. In each bucket
-every class is then held against the bucket's first and last class (linear in the bucket), survivors are
-confirmed on the full shingle sets, and confirmed links are contracted to components. What is left are
-buckets that hold several components. Of their pairs that are near in signature only a spanning forest
-leaves a bucket's block; it connects classes to families, whose sets are then compared block by block, all of
-a block at once, unless two blocks are of one component. Only links that join components leave a block. So no
-group of copies is ever expanded into pairs, and no candidate is dropped.
+Keys only propose; every proposal whose sizes allow a link is decided on the full shingle sets. Equal sets are
+first folded into one class, named by the 64-bit hash of one of its rows (id and text), so that texts without an
+id, or with the id of another text, take part as well. In each bucket every class is then held against the
+bucket's first and last class (linear in the bucket), and confirmed links are contracted to components. What is
+left are buckets that hold several components. Those of them that may be linked by their sizes are connected to
+families, whose sets are then compared block by block, all of a block at once: blocks hold sets of about one
+size, only blocks of neighbouring sizes meet, and not two blocks of one component. Only links that join
+components leave a block. So no group of copies is ever expanded into pairs, and no candidate is dropped.
 
 Defined results: a null or wordless text has no shingles and no links; a null doc_id takes part through its
 text and has its component, or null (and is kept) where no row with an id is in it; rows that share a doc_id
@@ -34,21 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHashes, bounded_batches, map_batches, staged, text_bytes
+from .common import Bloom, bounded_batches, give_back, join_counted, map_batches, staged, text_bytes, word_hashes
 
 SHINGLE = 5
-CHUNKS, WIDTH, ERRORS = 10, 4, 1
+CHUNKS, WIDTH, ERRORS = 12, 4, 1
 SLOTS = CHUNKS * WIDTH
-#: A pair with more differing slots isn't confirmed; a pair of similarity 0.75 has so many with probability 5e-7.
-MOST_DIFFERENT = 24
-#: Classes in a block of a large bucket, followers that go with one copy of their leader, classes in a block of a family.
-BLOCK, FOLLOWERS, MEMBERS = 2048, 64, 256
+#: Followers that go with one copy of their leader, bytes of sets in a block of a family, fewest and most sets in one.
+FOLLOWERS, BLOCK_BYTES, MEMBERS = 64, 1 << 20, (16, 1024)
 
 _rng = np.random.default_rng(20_240_501)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, SLOTS, dtype=np.uint64)
 _STEP = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words = WordHashes()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,7 +58,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = text_bytes(text).lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = _words.of(words)
+    h = word_hashes(words)
     size = min(size, len(words))
     many = len(words) - size + 1
     total = np.full(many, size, np.uint64)
@@ -108,19 +105,9 @@ def _sketch(batch: pa.RecordBatch) -> dict:
 
 
 def _keys(batch: pa.RecordBatch) -> dict:
-    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-    keys = keys_of(sig)
-    cid = batch.column("cid").to_numpy(zero_copy_only=False)
-    return {"cid": np.repeat(cid, keys.shape[1]), "key": keys.ravel()}
-
-
-def _near(batch: pa.RecordBatch) -> dict | None:
-    """Of proposed pairs those that are near in size and signature."""
-    if not batch.num_rows:
-        return None
-    a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("a_sig", "b_sig"))
-    keep = pa.array((a != b).sum(axis=1) <= MOST_DIFFERENT)
-    return {c: batch.column(c).filter(keep) for c in ("a", "b")}
+    keys = keys_of(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS))
+    cid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), keys.shape[1]) for c in ("cid", "n"))
+    return {"cid": cid, "n": n, "key": keys.ravel()}
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -141,6 +128,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                     found.append((a, b))
                     break
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+    give_back()
 
 
 def row_hash() -> Column:
@@ -159,8 +147,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     The texts of b are dealt over parts of a's followers, so that no leader with many of them is one task's work.
     """
     pairs = staged(pairs.distinct(), "pairs")
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    pairs = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FOLLOWERS)).cast("long"))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("many"))
+    pairs = join_counted(pairs, counts, ["a"]).withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / FOLLOWERS)).cast("long"))
     leads = pairs.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"))
     rows = staged(leads.unionByName(pairs.select("a", "part", F.lit(1).alias("role"), "b")), "roles")
     rows = rows.join(texts_of(rows.select("b"), docs), "b")
@@ -214,24 +202,6 @@ class Forest:
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _kin(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of buckets, sorted by (key, i, j): a spanning forest of the pairs that are near in size and signature
-    and whose components differ, so at most one edge for each row."""
-    for t in sorted_groups(batches, ["key", "i", "j"]):
-        cid, comp, block, n, i, j = (t.column(c).to_numpy() for c in ("cid", "comp", "block", "n_shingles", "i", "j"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        _, where, many = np.unique(comp, return_inverse=True, return_counts=True)
-        forest, edges = Forest(np.arange(len(cid))), []
-        for x in np.flatnonzero(where != many.argmax()):  # a pair of two components has one side here, or both
-            rest = right if block[x] == i[0] else left
-            rest = rest[(comp[rest] != comp[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))]
-            for y in rest[(sig[rest] != sig[x]).sum(axis=1) <= MOST_DIFFERENT]:
-                if forest.join(x, y):
-                    edges.append((cid[x], cid[y]))
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=EDGES)
-
-
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks of a family, sorted by (family, i, j): a spanning forest of the links between components.
 
@@ -239,79 +209,113 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """
     for t in sorted_groups(batches, ["family", "i", "j"]):
         cid, comp, block, i, j = (t.column(c).to_numpy() for c in ("cid", "comp", "block", "i", "j"))
-        sets = [shingles(x) for x in t.column("text").to_pylist()]
+        _, where, many = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(many) < 2:
+            continue
+        sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(size) - size
         mark = np.zeros(flat.max(initial=0) + 1, np.int64)
         left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
         forest, edges = Forest(comp), []
-        _, where, many = np.unique(comp, return_inverse=True, return_counts=True)
-        for x in np.flatnonzero(where != many.argmax()):
+        for x in np.flatnonzero(where != many.argmax()):  # a pair of two components has one side here, or both
             rest = right if block[x] == i[0] else left
             roots = forest.roots()
-            rest = rest[roots[rest] != roots[x]]
-            if not len(rest) or not size[x]:
+            rest = rest[(roots[rest] != roots[x]) & (100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
+            if not len(rest):
                 continue
             own = flat[starts[x] : starts[x] + size[x]]
             mark[own] = 1
-            both = np.add.reduceat(mark[flat], np.minimum(starts, len(flat) - 1))[rest]
+            both = np.add.reduceat(mark[flat], starts)[rest]
             mark[own] = 0
-            for y in rest[(both > 0) & (100 * both >= percent * (size[rest] + size[x] - both))]:
+            for y in rest[100 * both >= percent * (size[rest] + size[x] - both)]:
                 if forest.join(x, y):
                     edges.append((cid[x], cid[y]))
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=EDGES)
+    give_back()
+
+
+def size_range(n: str, percent: int) -> Column:
+    """Number of a range of sizes: linked sets lie in the same or in neighbouring ranges."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / percent + 0.01))).cast("long")
+
+
+def kindred(apart: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between components whose classes share a bucket and may be linked by their sizes; some more, never less.
+
+    apart: key, comp, range. Each (key, range) names its least component; all others of it, and the least one of the next
+    range, are connected to that.
+    """
+    cells = apart.groupBy("key", "range").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("many"))
+    cells = staged(cells, "cells")
+    inside = join_counted(apart, cells.where("least < most").select("key", "range", "least", "many"), ["key", "range"])
+    inside = inside.where("comp <> least").select(F.col("least").alias("a"), F.col("comp").alias("b"))
+    up = cells.select("key", (F.col("range") + 1).alias("range"), F.col("least").alias("below"))
+    across = cells.join(up, ["key", "range"]).where("least <> below").select(F.least("least", "below").alias("a"), F.greatest("least", "below").alias("b"))
+    return inside.unionByName(across).distinct()
 
 
-def family_links(kin: DataFrame, comps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def family_links(kin: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links between different components of the same family (what the kin edges connect).
 
-    A family's classes are dealt into blocks: those of a component with more than MEMBERS classes into blocks of
-    their own, the others together. Every two blocks are compared whole, but not two of one component.
+    classes: cid, comp, n_shingles. A family's classes of one range of sizes are dealt into blocks: those of a component
+    with enough of them into blocks of their own, the others together.
     """
-    family = components(kin).toDF("cid", "family").join(comps.toDF("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    # the rest of the components that the family touches belongs to it too
-    touched = family.select("comp", "family").distinct()
-    grown = comps.toDF("cid", "comp").join(touched, "comp").unionByName(family).distinct()
+    families = components(kin).toDF("comp", "family")
+    grown = classes.join(families, "comp").withColumn("range", size_range("n_shingles", percent))
     grown = staged(grown, "families")
-    sizes = grown.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > MEMBERS).select("family", "comp", F.ceil(F.col("n") / MEMBERS).alias("own"))
-    rest = sizes.where(F.col("n") <= MEMBERS).groupBy("family").agg(F.ceil(F.sum("n") / MEMBERS).alias("shared"))
-    dealt = grown.join(large, ["family", "comp"], "left").join(rest, "family", "left")
-    block = F.when(F.col("own").isNotNull(), F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("own")))).otherwise(F.pmod(F.xxhash64("cid"), F.col("shared")))
-    dealt = staged(dealt.select("family", "cid", "comp", block.alias("block"), F.when(F.col("own").isNotNull(), F.col("comp")).alias("pure")), "dealt")
-    blocks = dealt.select("family", "block", "pure").distinct()
-    two = blocks.toDF("family", "i", "p").join(blocks.toDF("family", "j", "q"), "family").where("i <= j AND NOT coalesce(p = q, false)").select("family", "i", "j")
+    room = F.least(F.lit(MEMBERS[1]), F.greatest(F.lit(MEMBERS[0]), F.lit(BLOCK_BYTES) / (8 * F.max("n_shingles"))))
+    sizes = grown.groupBy("family", "range", "comp").agg(F.count("*").alias("n"), room.alias("room"))
+    large = sizes.where("n > room").select("family", "range", "comp", F.ceil(F.col("n") / F.col("room")).alias("own"))
+    rest = sizes.where("n <= room").groupBy("family", "range").agg(F.ceil(F.sum("n") / F.min("room")).alias("shared"))
+    dealt = grown.join(large, ["family", "range", "comp"], "left").join(rest, ["family", "range"], "left")
+    pure = F.when(F.col("own").isNotNull(), F.col("comp"))
+    number = F.pmod(F.xxhash64("cid"), F.coalesce("own", "shared"))
+    dealt = dealt.select("family", "cid", "comp", "range", pure.alias("pure"), F.xxhash64("range", F.coalesce(pure, F.lit(0)), pure.isNull(), number).alias("block"))
+    dealt = staged(dealt, "dealt")
+    blocks = dealt.select("family", "range", "block", "pure").distinct()
+    other = blocks.toDF("family", "r", "other", "q")
+    near = F.explode(F.array(F.col("range"), F.col("range") + 1)).alias("r")
+    two = blocks.select("family", "range", "block", "pure", near).join(other, ["family", "r"]).where("(r > range OR block <= other) AND NOT coalesce(pure = q, false)")
+    two = two.select("family", F.col("block").alias("i"), F.col("other").alias("j"))
     sides = two.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = dealt.select("family", "cid", "comp", "block").join(sides, ["family", "block"])
-    rows = rows.join(texts_of(dealt.select("cid"), docs), "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"cid": batch.column(0), "shingles": [shingles(x).astype("<u8").tobytes() for x in batch.column(1).to_pylist()]}
+
+    texts = staged(map_batches(texts_of(dealt.select("cid"), docs).select("cid", "text"), sets, "cid long, shingles binary"), "shingles")
+    rows = rows.join(texts, "cid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that have an edge (a, b), by alternating large-star and small-star steps.
 
-    Each step only takes minima by node, so a hub of any size is pre-aggregated; after every round the edges
-    are written to the shared folder. It ends when a round changes nothing, in about log(nodes) rounds.
+    Each step takes minima by node and joins them with the node's edges, a hub's without a shuffle; after every
+    round the edges are written to the shared folder. It ends when a round changes nothing, in about log(nodes)
+    rounds.
     """
 
     def largest(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")).withColumn("m", F.least("u", "m"))
+        return join_counted(both, staged(least, "least"), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
     def smallest(e: DataFrame) -> DataFrame:  # u > v in every edge
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        return e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        least = staged(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least")
+        return join_counted(e, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     was = None
-    while (seen := state(now)) != was:
+    while (seen := state(now)) != was and seen[0]:
         was = seen
-        now = staged(smallest(largest(now).distinct()).distinct(), "edges")
+        stars = staged(largest(now).distinct(), "stars")
+        now = staged(smallest(stars).distinct(), "edges")
     label = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return label.union(label.select(F.col("comp").alias("node"), "comp").distinct())
 
@@ -328,49 +332,38 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = staged(map_batches(docs, _sketch, "doc_id long, row long, n_shingles long, d1 long, d2 long, sig binary"), "sets")
 
     same = ["d1", "d2", "n_shingles"]
-    names = staged(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("cid"), F.min("doc_id").alias("id")), "classes")
-    members = names.select("cid", *same)
-    classes = staged(
-        sets.where("n_shingles > 0").join(members.withColumnRenamed("cid", "row"), ["row", *same]).groupBy(F.col("row").alias("cid"), *same).agg(F.first("sig").alias("sig")),
-        "signatures",
-    )
-
-    keys = map_batches(classes.select("cid", "sig"), _keys, "cid long, key long")
-    shared = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-    buckets = staged(keys.join(shared, "key"), "buckets")
+    some = sets.where("n_shingles > 0").groupBy(*same)
+    classes = some.agg(F.min("row").alias("cid"), F.min("doc_id").alias("id"), F.count("*").alias("many"), F.first("sig").alias("sig"))
+    classes = staged(classes, "classes")
 
-    def signed(pairs: DataFrame) -> DataFrame:
-        of = classes.select("cid", "sig", "n_shingles")
-        pairs = pairs.join(of.toDF("a", "a_sig", "a_n"), "a").join(of.toDF("b", "b_sig", "b_n"), "b")
-        pairs = pairs.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        return map_batches(pairs, _near, "a long, b long")
+    keys = map_batches(classes.select("cid", F.col("n_shingles").alias("n"), "sig"), _keys, "cid long, n long, key long")
+    shared = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    sizes = classes.select("cid", "n_shingles")
+    shared = shared.join(sizes.toDF("lo", "lo_n"), "lo").join(sizes.toDF("hi", "hi_n"), "hi")  # a class is in few keys
+    buckets = staged(join_counted(keys, staged(shared, "shared"), ["key"]), "buckets")
 
-    star = buckets.select(F.col("lo").alias("a"), F.col("cid").alias("b")).union(buckets.select(F.col("cid").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    links = staged(confirmed(signed(star), docs, percent), "links")
+    star = buckets.selectExpr("lo AS a", "lo_n AS x", "cid AS b", "n AS y").union(buckets.selectExpr("cid", "n", "hi", "hi_n"))
+    star = star.where(f"a < b AND 100 * least(x, y) >= {percent} * greatest(x, y)").select("a", "b").distinct()
+    links = staged(confirmed(star, docs, percent), "links")
     comps = staged(components(links), "components")
 
-    apart = buckets.where("many > 3").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed_keys = apart.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rest = (
-        apart.join(mixed_keys, "key")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "cid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(classes.select("cid", "sig", "n_shingles"), "cid")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    kin = staged(rest.mapInArrow(lambda batches: _kin(batches, percent), "a long, b long").distinct(), "kin")
-    more = family_links(kin, comps, docs, percent)
-    comps = staged(components(links.union(more)), "components")
-
-    smallest = names.join(comps.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("least"))
-    named = names.join(comps.join(smallest, "comp").withColumnRenamed("node", "cid"), "cid", "left")
-    named = named.select(*same, F.coalesce("comp", "cid").alias("group"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+    sizes = sizes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    sizes = staged(sizes.select("cid", "comp", "n_shingles"), "sizes")
+    apart = buckets.where("many > 3").select("key", "cid", "n").join(sizes.select("cid", "comp"), "cid").select("key", "comp", size_range("n", percent).alias("range"))
+    mixed_keys = apart.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("many")).where("least < most")
+    apart = staged(join_counted(apart, staged(mixed_keys.select("key", "many"), "mixed"), ["key"]).select("key", "comp", "range"), "apart")
+    kin = staged(kindred(apart, percent), "kin")
+    if not kin.isEmpty():
+        more = staged(family_links(kin, sizes, docs, percent), "links")
+        if not more.isEmpty():
+            comps = staged(components(links.union(more)), "components")
+
+    smallest = classes.join(comps.withColumnRenamed("node", "cid"), "cid").groupBy("comp").agg(F.min("id").alias("least"))
+    named = classes.join(comps.join(smallest, "comp").withColumnRenamed("node", "cid"), "cid", "left")
+    named = named.select(*same, "many", F.coalesce("comp", "cid").alias("group"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return sets.join(named, same, "left").select("doc_id", "row", F.col("n_shingles").cast("long").alias("n_shingles"), "group", component.alias("component_id"))
+    rows = join_counted(sets.select("doc_id", "row", *same), staged(named, "named"), same, "left")
+    return rows.select("doc_id", "row", F.col("n_shingles").cast("long").alias("n_shingles"), "group", component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
