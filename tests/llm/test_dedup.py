@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from prismlake.llm import neardup, suffixdedup
+from prismlake.llm import common, neardup, suffixdedup
 
 
 def sentence(rng, n, vocabulary=5000):
@@ -41,10 +41,11 @@ def brute_components(rows):
     return sets, [min((rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None), default=None) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block,members", [(512, 256), (4, 3)])
-def test_near_duplicates(documents, monkeypatch, block, members):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("members,followers,hot", [(neardup.MEMBERS, neardup.FOLLOWERS, common.HOT), ((2, 3), 2, 3)])
+def test_near_duplicates(documents, monkeypatch, members, followers, hot):
     monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "FOLLOWERS", followers)
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(5)
     texts = [sentence(rng, rng.randint(1, 90)) for _ in range(40)]
     for share in (0.01, 0.02, 0.03, 0.04, 0.05):
@@ -102,10 +103,38 @@ def test_pigeonhole():
     a = rng.integers(0, 2**16, (300, neardup.SLOTS)).astype(np.uint16)
     b = a.copy()
     for row in b:
-        row[rng.permutation(neardup.SLOTS)[:19]] ^= 1
+        row[rng.permutation(neardup.SLOTS)[: neardup.CHUNKS * (neardup.ERRORS + 1) - 1]] ^= 1
     assert all(set(x) & set(y) for x, y in zip(neardup.keys_of(a).tolist(), neardup.keys_of(b).tolist()))
 
 
+def test_slots_are_independent():
+    """At a similarity of 0.75 as many chunks of a signature are good for a key as independent slots would give."""
+    rng = np.random.default_rng(6)
+    sets = [x for _ in range(6000) for both in [rng.integers(0, 2**63, 60).astype(np.uint64)] for x in (np.append(both, rng.integers(0, 2**63, 10).astype(np.uint64)), np.append(both, rng.integers(0, 2**63, 10).astype(np.uint64)))]
+    sig = neardup.signatures([np.sort(x) for x in sets])
+    differ = (sig[::2] != sig[1::2]).reshape(-1, neardup.CHUNKS, neardup.WIDTH).sum(axis=2)
+    good = (differ <= neardup.ERRORS).sum(axis=1)
+    p = 0.75**4 + 4 * 0.75**3 * 0.25
+    assert abs(good.mean() / neardup.CHUNKS - p) < 0.01
+    assert abs(good.var() / (neardup.CHUNKS * p * (1 - p)) - 1) < 0.1
+
+
+def brute_passages(texts):
+    n = suffixdedup.WORDS_LEAST + 1
+    words = [t.split() for t in texts]
+    seen = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(k)
+    for w in words:
+        covered = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - n + 1):
+            if len(seen[tuple(w[i : i + n])]) > 1:
+                covered[i + 1] += 1
+                covered[i + n + 1] -= 1
+        yield int((np.diff((np.cumsum(covered) > 0).astype(int)) == 1).sum())
+
+
 def brute_cut(texts):
     n = suffixdedup.LENGTH
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
@@ -120,10 +149,11 @@ def brute_cut(texts):
         yield len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("group", [suffixdedup.GROUP, 5])
-def test_repeats(documents, group):
+@pytest.mark.parametrize("group,hot", [(suffixdedup.GROUP, common.HOT), (5, 4)])
+def test_repeats(documents, monkeypatch, group, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(7)
-    passages = [sentence(rng, n, 800) for n in (20, 60, 75, 85, 100, 300)]
+    passages = [sentence(rng, n, 800) for n in (20, 51, 60, 75, 85, 100, 300)]
     near = sentence(rng, 400, 800)
     texts = []
     for i in range(60):
@@ -131,10 +161,12 @@ def test_repeats(documents, group):
         for _ in range(rng.randint(0, 3)):
             parts += [rng.choice(passages), sentence(rng, rng.randint(0, 30), 800)]
         texts.append(" ".join(parts))
-    texts += [edited(rng, near, 0.01) for _ in range(15)] + ["ab" * 900, "é" * 500, "x" * 399, "x" * 400, "short", "", texts[0], passages[5]]
-    texts += [passages[4][:-1] + "?" + sentence(rng, 5), "?" + passages[4][1:], passages[3][:399], passages[3][:400]]
+    texts += [edited(rng, near, 0.01) for _ in range(15)] + ["ab" * 900, "é" * 500, "x" * 399, "x" * 400, "short", "", texts[0], passages[6]]
+    texts += [passages[5][:-1] + "?" + sentence(rng, 5), "?" + passages[5][1:], passages[4][:399], passages[4][:400]]
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, texts[3])]
-    want = [(i, *x) for (i, _), x in zip(rows, brute_cut([(t or "").encode() for _, t in rows]))]
+    data = [(t or "").encode() for _, t in rows]
+    want = [(i, *x, n) for (i, _), x, n in zip(rows, brute_cut(data), brute_passages(data))]
+    assert sum(n > 0 and x[1] == 0 for (*_, n), x in zip(want, brute_cut(data))) > 0  # passages of few bytes
     got = suffixdedup.without_repeats(documents(rows), group=group).collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
@@ -145,6 +177,10 @@ def test_kept_text(documents):
     rows = [(1, "a" + shared + "1 " + sentence(rng, 20)), (2, "b" + shared + "2 " + sentence(rng, 20)), (3, None)]
     got = {r.doc_id: r for r in suffixdedup.without_repeats(documents(rows), with_kept=True, carry=["lang"]).collect()}
     assert got[1].kept == rows[0][1].replace(shared, "") and got[1].lang == "en" and got[3].kept is None
+    words = " ".join(random.Random(9).choices("abcdefghij", k=51))  # 101 bytes
+    rows = [(1, "x " + words + " y"), (2, words + "\nz"), (3, words.replace(" ", "  ", 1)), (4, words[2:])]
+    got = {r.doc_id: (r.kept, r.n_removed, r.n_passages) for r in suffixdedup.without_repeats(documents(rows), with_kept=True).collect()}
+    assert got == {1: ("x  y", 0, 1), 2: ("\nz", 0, 1), 3: ("", 0, 1), 4: (words[2:], 0, 0)}
     assert suffixdedup.without_repeats(documents([])).count() == 0
 
 
@@ -161,6 +197,6 @@ def test_suffix_order():
 def test_anchors_cross_blocks(monkeypatch):
     rng = np.random.default_rng(4)
     data = rng.integers(97, 110, 9000).astype(np.uint8)
-    whole = suffixdedup.anchors(data)
+    whole = [suffixdedup.anchors(data, w) for w in suffixdedup.KINDS]
     monkeypatch.setattr(suffixdedup, "BLOCK", 1000)
-    assert all(np.array_equal(a, b) for a, b in zip(whole, suffixdedup.anchors(data)))
+    assert all(np.array_equal(a, b) for x, w in zip(whole, suffixdedup.KINDS) for a, b in zip(x, suffixdedup.anchors(data, w)))
