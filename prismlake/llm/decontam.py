@@ -2,7 +2,7 @@
 
 The index is a table with a row for each segment (some hundred training documents): the sorted hashes of the
 segment's terms, and for each term the positions of its tokens in the segment, where a document's positions
-follow the one before it after a gap that no phrase can bridge. A phrase is looked up by intersecting its
+follow the one before it after a gap of places without a token. A phrase is looked up by intersecting its
 terms' lists, each shifted by the term's offset in the phrase, from the rarest term on; most phrases end at
 a term that the segment lacks. Proximity matches allow up to `slop` other words in between.
 
@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, map_batches, staged, text_bytes
+from .common import bounded_batches, give_back, map_batches, staged, text_bytes, word_hashes
 
 WINDOW, PHRASES, SEGMENT = 8, 20_000, 250_000
-GAP = 64  # more than any phrase and slop
-_words = WordHashes()
+GAP = 64  # places between two documents
 
 #: Bytes that are no part of a word: \x00-\x2F \x3A-\x60 \x7B-\x7F, after A-Z have been lower-cased.
 _SPACES = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -41,7 +40,7 @@ def words(text: str | None) -> list[bytes]:
 
 def phrases_of(text: str | None, window: int = WINDOW) -> list[tuple[int, ...]]:
     """Hashes of the words of each window; a text of fewer words, but not none, is one."""
-    h = [_words[w] for w in words(text)]
+    h = word_hashes(words(text)).tolist()
     return [tuple(h[i : i + window]) for i in range(max(1, len(h) - window + 1))] if h else []
 
 
@@ -77,7 +76,7 @@ def build_index(docs: DataFrame, tokens: int = SEGMENT) -> DataFrame:
         ids, hashes, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = _words.of(words(text))
+                h = word_hashes(words(text))
                 if ids and held + len(h) + GAP > tokens:
                     yield pa.RecordBatch.from_pylist([_segment(ids, hashes)], schema=schema)
                     ids, hashes, held = [], [], 0
@@ -86,6 +85,7 @@ def build_index(docs: DataFrame, tokens: int = SEGMENT) -> DataFrame:
                 held += len(h) + GAP
         if ids:
             yield pa.RecordBatch.from_pylist([_segment(ids, hashes)], schema=schema)
+        give_back()
 
     return staged(docs.mapInArrow(run, _INDEX), "index")
 
@@ -130,8 +130,8 @@ class Segment:
         return found
 
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the first term from which all others follow in order with at most slop words in between."""
-        slop = min(slop, GAP - len(terms) - 1)
+        """Positions of the first term from which all others follow in the same document, in order and with at most
+        slop words in between."""
         # places less offsets lie in a match within slop of each other: what the rarest terms rule out isn't followed
         order = np.argsort(self.ends[terms] - self.first[terms], kind="stable")
         about = self.places(terms[order[0]]) - order[0]
@@ -153,7 +153,7 @@ class Segment:
             start, at = start[ok], other[k[ok]]
             inside = at - start <= len(terms) - 1 + slop
             start, at = start[inside], at[inside]
-        return start
+        return start[self.document(start) == self.document(at)]
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, side="right") - 1
