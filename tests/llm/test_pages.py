@@ -1,4 +1,7 @@
+import html as entities
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -33,8 +36,7 @@ def test_article_text(spark):
 
 def test_comments_forms_and_sidebars():
     html = page("T", "text", tail='<section id="comments"><p>me too</p></section><aside>side</aside><form><p>mail</p></form>').replace("</article>", '<div class="share">share</div><form>x</form></article>')
-    root = htmlwrap.parse(html)
-    assert htmlwrap.main_text(root, set(htmlwrap.content_paths(htmlwrap.wrapper(root))))[0] == "T\n\ntext"
+    assert own_text(html) == "T\n\ntext"
 
 
 def test_wrapper_without_article(spark):
@@ -45,8 +47,7 @@ def test_wrapper_without_article(spark):
 
 
 def own_text(html):
-    root = htmlwrap.parse(html)
-    return htmlwrap.main_text(root, set(htmlwrap.content_paths(htmlwrap.wrapper(root))))[0]
+    return htmlwrap.main_text(htmlwrap.parse(html), set())
 
 
 def test_class_words_of_layouts():
@@ -94,10 +95,68 @@ def test_merge_order_keeps_places():
         w = whole[0]
         for x in whole[1:]:
             w = htmlwrap.merge(w, x)
-        found.add(tuple(htmlwrap.content_paths(w)))
+        found.add(tuple(htmlwrap.template_paths(w)))
     assert len(found) == 1
 
 
+def article_of(page):
+    """Main text of the given tables' pages, by their markup."""
+    inside = re.search(r"<article>(.*?)(?:</article>|\Z)", re.sub(r"<!--.*?-->", "", page or "", flags=re.S), re.S)
+    blocks = re.split(r"</?(?:h1|p)>", inside.group(1)) if inside else []
+    blocks = [" ".join(entities.unescape(re.sub(r"</?[a-z][^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_given_pages(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = {r.page_id: (r.url, r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op5_html_wrappers(spark, folder).collect()}
+    assert got == {i: (u, article_of(h), len(article_of(h))) for i, (u, h) in rows.items()}
+
+
+def test_headers():
+    """A header goes, but not one with the headline or, in an article, with the article's title."""
+    assert own_text("<main><header><p>Site</p></header><h1>T</h1><p>text</p></main>") == "T\n\ntext"
+    assert own_text("<article><header><h2>T</h2><p>by</p></header><p>text</p></article>") == "T\n\nby\n\ntext"
+    assert own_text("<body><header><div><h1>T</h1></div></header><p>text</p></body>") == "T\n\ntext"
+
+
+HOSTILE = ["<div>", "<a ", "<p>a", "<div><p>", "<h1>", "<li><div>", "<script ", "<", '<a b="<a" ', "<!", "</script", "<!--", "<header>", "&#9", "<table><tr><td>", "</p>", "<nav>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages(piece):
+    """Deep, broken and endless markup is read in linear time, wherever the text is."""
+    began = time.time()
+    root = htmlwrap.parse(piece * 100_000 + "<div>x</div>")
+    htmlwrap.main_text(root, set())
+    w = htmlwrap.wrapper(root)
+    htmlwrap.template_paths(htmlwrap.pruned(htmlwrap.merge(w, w)))
+    assert time.time() - began < 30
+
+
+def test_deep_and_long_pages(spark):
+    """No text is lost by the bounds of wrappers, and boilerplate below them isn't text."""
+    deep = lambda i: "<body>" + "<div>" * 20_000 + f"<p>one {i}</p><nav>menu</nav><div><aside><p>aside</p></aside>two</div>" + "</div>" * 20_000 + f"end {i}"
+    long = lambda i: "<body>" + "".join(f"<div class=q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}><h2>{k}</h2></div><p>{i}.{k}</p>" for k in range(900))
+    got = htmlwrap.extract(pages(spark, [(i, f"http://d.net/{i}", deep(i)) for i in range(4)] + [(10 + i, f"http://l.net/{i}", long(i)) for i in range(2)])).collect()
+    text = {r.page_id: r.text for r in got}
+    assert text[3] == "one 3\n\ntwo\n\nend 3"
+    assert text[11] == "\n\n".join(f"{k}\n\n1.{k}" for k in range(900))
+
+
+def test_wrappers_are_bounded(monkeypatch):
+    monkeypatch.setattr(htmlwrap, "NODES", 60)
+    whole = None
+    for i in range(40):
+        words = "".join(f"<div class={chr(97 + i % 26)}{chr(97 + k)}><p>{i}</p></div>" for k in range(9))
+        w = htmlwrap.wrapper(htmlwrap.parse(f"<body><div class=top><p>Welcome</p></div>{words}</body>"))
+        whole = htmlwrap.pruned(w if whole is None else htmlwrap.merge(whole, w))
+    nodes = lambda w: 1 + sum(map(nodes, w[htmlwrap.INSIDE]))
+    assert nodes(whole) <= 60 and htmlwrap.template_paths(whole) == ["#page>body>div.top", "#page>body>div.top>p"]
+
+
 def test_many_hosts_and_levels(spark, monkeypatch):
     monkeypatch.setattr(htmlwrap, "FAN", 2)
     rows = [(i, f"http://{'big' if i % 3 else i}.org/{i}", page(f"T{i}", f"p{i}")) for i in range(40)]
@@ -132,6 +191,17 @@ def test_equal_digests_are_confirmed(monkeypatch):
     assert array.find(["c", "x", "a"]).tolist() == [array.strings.index("c"), -1, array.strings.index("a")]
 
 
+def test_ties_of_rules(spark):
+    """Of rules of one length the longer host wins, in memory and by key."""
+    rules = [("allow", "b.com", "/xy/"), ("block", "a.b.com", "/x"), ("allow", "c.com", "/a"), ("block", "com", "/a/b"), ("block", "c.com", "/a"), ("allow", "com", "/a/bc")]
+    urls = ["http://a.b.com/xy/z", "http://c.com/a/b", "http://x.c.com/a/bcd", "http://b.com/xy/", "http://a.b.com/xy/z", None, ""]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    own = sorted(str(tuple(r)) for r in urlfilter.filtered(table, rules).collect())
+    by_key = urlfilter._joined(table, spark.createDataFrame(rules, "verdict string, host string, path string"), "allow")
+    assert sorted(str(tuple(r)) for r in by_key.collect()) == own
+    assert "(0, 'a.b.com', '/xy/z', 'a.b.com/x', 'block')" in own and "(1, 'c.com', '/a/b', 'c.com/a', 'block')" in own and "(2, 'x.c.com', '/a/bcd', 'com/a/bc', 'allow')" in own
+
+
 def test_both_verdicts_block():
     assert urlfilter.Rules([("block", "A.com", "/"), ("allow", "a.com", "/")]).judge([("a.com", "/x")]) == [("a.com/", "block")]
 
