@@ -10,7 +10,7 @@ cluster by key and joined with the candidates' keys, with the same result.
 
 Defined results: a null url, or one without `://`, has an empty host and path and no rule; a null page_id
 stays null; repeated rules are one, and where one string is both allowed and blocked it is blocked; repeated
-urls are repeated in the result; empty tables give empty ones; without rules every url has the method's
+urls are repeated in the result; of rules of one length the one with the longer host wins; empty tables give empty ones; without rules every url has the method's
 verdict; other columns are not read.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches
+from .common import bounded_batches, join_counted, map_batches, staged
 
 BROADCAST = 64 << 20
 #: What a url gets that no rule fits: it isn't on the list.
@@ -90,7 +90,7 @@ class Rules:
         self.lengths = sorted({len(s.partition("\n")[2]) for s in verdicts}, reverse=True)
 
     def judge(self, urls: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
-        """Rule and verdict of each (host, path); longest rule (host and path together) wins."""
+        """Rule and verdict of each (host, path); longest rule (host and path together) wins, on ties the longer host."""
         owner, text = [], []
         for i, (host, path) in enumerate(urls):
             for suffix in suffixes(host):
@@ -154,7 +154,8 @@ def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         found = [parts(u) for u in batch.column(0).to_pylist()]
         return {"url": batch.column(0), "host": [h for h, _ in found], "path": [p for _, p in found]}
 
-    urls = map_batches(pages.select("url").distinct(), split, "url string, host string, path string")
+    counts = pages.select(F.coalesce("url", F.lit("")).alias("url")).groupBy("url").agg(F.count("*").alias("many"))
+    urls = staged(map_batches(counts, lambda batch: split(batch) | {"many": batch.column("many")}, "url string, host string, path string, many long"), "urls")
     labels = F.split("host", "[.]")
     tries = (
         urls.where("host <> ''")
@@ -163,8 +164,10 @@ def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         .where(F.col("n") <= F.length("path"))
         .select("url", "rule_host", F.expr("substring(path, 1, n)").alias("rule_path"))
     )
-    best = tries.join(rules, ["rule_host", "rule_path"]).groupBy("url").agg(
-        F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "block")).alias("best")
-    )
-    judged = urls.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best.block") == 1, "block").when(F.col("best.block") == 0, "allow").otherwise(default).alias("verdict"))
-    return pages.join(judged, pages["url"].eqNullSafe(judged["url"]), "left").select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # the longest; of several the one with the longest host (two of one host and one length are the same)
+    size, host = F.length("rule_host"), F.concat("rule_host", "rule_path")
+    best = tries.join(rules, ["rule_host", "rule_path"]).groupBy("url").agg(F.max(F.struct(F.length(host).alias("n"), size.alias("h"), host.alias("rule"), "block")).alias("best"))
+    verdict = F.when(F.col("best.block") == 1, "block").when(F.col("best.block") == 0, "allow").otherwise(default)
+    judged = urls.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "many")
+    rows = join_counted(pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")), staged(judged, "judged"), ["url"])
+    return rows.select("page_id", "host", "path", "rule", "verdict")
