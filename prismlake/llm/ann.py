@@ -150,6 +150,20 @@ def trained(vectors: DataFrame, most: int = TRAIN_ROWS) -> tuple[int, Quantiser]
     return dims["n"], Quantiser(np.array(rows.column(0).to_pylist()))
 
 
+def matter(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Which rows, sorted by id, can be among the k nearest others of any id: of equal vectors k rows of each of the
+    k + 1 smallest ids, as a query leaves out the rows of one id."""
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group))
+    g, i = group[order], ids[order]
+    place = np.arange(len(i))
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])])
+    own = place - np.maximum.accumulate(np.where(new, place, 0))  # rows of the same vector and id before this one
+    nth = np.cumsum(new)
+    smaller = nth - nth[np.searchsorted(g, g)]  # ids of the same vector that are smaller
+    return np.sort(order[(own < k) & (smaller <= k)])
+
+
 def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERANK) -> DataFrame:
     """For each query (vec_id divisible by `every`) its k nearest others: query_id, rank, vec_id, score (distance)."""
     spark = table.sparkSession
@@ -173,11 +187,7 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, rerank: int = RERA
                 order = np.argsort(i, kind="stable")
                 i, x = i[order], x[order]
                 if with_codes:
-                    # of equal vectors only the k + 1 smallest ids can be among k nearest others
-                    _, group = np.unique(x, axis=0, return_inverse=True)
-                    by_group = np.argsort(group, kind="stable")
-                    first = np.searchsorted(group[by_group], group[by_group])
-                    keep = np.sort(by_group[np.arange(len(i)) - first <= k])
+                    keep = matter(i, x, k)
                     i, x = i[keep], x[keep]
                 codes = known.value.packed(x).tobytes() if with_codes else b""
                 return pa.RecordBatch.from_pydict({"ids": [i.astype("<i8").tobytes()], "v": [x.astype("<f8").tobytes()], "codes": [codes]})
