@@ -29,21 +29,25 @@ from .common import bounded_batches, map_batches
 BUCKETS, RANK, BINS = 1 << 16, 6, 8
 TRAIN_ROWS, STEPS, BATCH, RATE, DECAY = 8_000, 500, 128, 0.1, 1e-4
 THRESHOLD, HELD_OUT = 0.7, 2
+#: Words that a worker remembers.
+KNOWN = 50_000
 
 _MARKS = [re.compile(x) for x in (r"[|]", r"[!?]{2}", r"[%&$#*@^~=+<>\\{}\[\]_]", r"^[^a-zà-ÿ]*[A-ZÀ-Þ]{2}[^a-zà-ÿ]*$", r"\d", r"^[A-ZÀ-Þ]", r"[.,;:]$", r"://|www\.")]
 STATS = len(_MARKS) + 9
 
 
 class Words(dict):
-    """Word to its bucket, the marks it bears and its length, packed in one integer."""
+    """Word to its length, its bucket and the marks it bears, packed in one integer; as many as a worker remembers."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= KNOWN:
             self.clear()
         marks = sum(bool(m.search(word)) << i for i, m in enumerate(_MARKS))
         bare = word.lower().strip(".,;:!?|%&$#*\"'()")
         bucket = xxhash.xxh32_intdigest(bare) % BUCKETS
-        value = self[word] = bucket << 16 | marks << 8 | min(len(word), 255)
+        value = len(word) << 24 | bucket << 8 | marks
+        if len(word) <= 64:
+            self[word] = value
         return value
 
 
@@ -59,15 +63,15 @@ def inputs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     stats = np.zeros(STATS)
     if n:
         for i in range(len(_MARKS)):
-            stats[i] = np.count_nonzero(packed & (256 << i)) / n
-        sizes = packed & 255
+            stats[i] = np.count_nonzero(packed & (1 << i)) / n
+        sizes = packed >> 24
         sorted_words = np.sort(packed)
         runs = np.diff(np.flatnonzero(np.concatenate([[True], sorted_words[1:] != sorted_words[:-1], [True]])))
         stats[len(_MARKS) :] = (
             sizes.mean(), sizes.std(), len(runs) / n, runs.max() / n, np.count_nonzero(packed[1:] == packed[:-1]) / n,
             len(set(lines)) / len(lines), len(lines) / n, np.log1p(n), np.log1p(len(text)),
         )
-    return np.unique(packed >> 16), stats
+    return np.unique(packed >> 8 & 0xFFFF), stats
 
 
 class Machine:
@@ -133,7 +137,8 @@ def is_held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, targets: list[str], most: int) -> DataFrame:
-    """text and targets of at most `most` labelled rows that aren't held out, those with the least hash of doc_id."""
+    """doc_id, text and targets of labelled rows that aren't held out: those of the `most` labels with the least hash of
+    doc_id. Documents that share an id are all there; who collects rows limits them by first_rows()."""
     known = labels.where(F.col("doc_id").isNotNull() & ~is_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(t).cast("int").alias(t) for t in targets))
     for t in targets:
         known = known.where(F.col(t).isin(0, 1))
@@ -142,20 +147,24 @@ def labelled(docs: DataFrame, labels: DataFrame, targets: list[str], most: int)
     return texts.join(F.broadcast(chosen), "doc_id")  # at most `most` rows of a few integers
 
 
+def first_rows(rows: DataFrame, most: int, *key: F.Column | str) -> pa.Table:
+    """Of rows of labelled() the first `most` by key, which must not depend on the order in which rows arrive."""
+    return rows.orderBy(*key).limit(most).toArrow()
+
+
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine | float:
     """The machine, or where one kind of label is missing their mean."""
 
     def features(batch: pa.RecordBatch) -> dict:
         found = [inputs(t) for t in batch.column("text").to_pylist()]
-        return {"label": batch.column("quality"), "buckets": [b.tolist() for b, _ in found], "stats": [s.tolist() for _, s in found]}
+        return {"label": batch.column("quality"), "buckets": [b.astype("<u2").tobytes() for b, _ in found], "stats": [s.tolist() for _, s in found]}
 
-    got = map_batches(labelled(docs, labels, ["quality"], most), features, "label int, buckets array<int>, stats array<double>")
-    # the order in which rows arrive must not matter; the words and numbers of at most `most` documents
-    t = got.orderBy(F.xxhash64("buckets", "stats"), "label").toArrow()
+    got = map_batches(labelled(docs, labels, ["quality"], most), features, "label int, buckets binary, stats array<double>")
+    t = first_rows(got, most, F.xxhash64("buckets", "stats"), "label")
     y = t.column("label").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    buckets = [np.array(x, np.int64) for x in t.column("buckets").to_pylist()]
+    buckets = [np.frombuffer(x, "<u2").astype(np.int64) for x in t.column("buckets").to_pylist()]
     stats = np.array(t.column("stats").to_pylist())
     return Machine(stats).fit(buckets, stats, y)
 

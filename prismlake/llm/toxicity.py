@@ -8,8 +8,8 @@ come to trust an overfitted one. For scoring each category's model is fitted to
 
 The labels know two flags. The chain goes over three categories made of them: `junk` (quality 0), `toxic`
 and `toxic_junk` (both). Models are fitted on the driver to at most TRAIN_ROWS labelled documents, those with
-the least hash of doc_id, over at most INPUTS inputs (the most telling ones, chosen anew in each fold); every
-document is scored.
+the least hash of doc_id; a model's weights are those of the INPUTS most telling hashed inputs, chosen anew in each
+fold among those in at least LEAST_ROWS rows (rarer ones say nothing of other documents). Every document is scored.
 
 Defined results: null and empty texts are scored as texts without words; a null doc_id stays null and is
 never learned from; labelled rows with other labels than 0 and 1 are ignored; a category without both kinds
@@ -28,23 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches
-from .quality import labelled
+from .quality import first_rows, labelled
 
 CATEGORIES = ("junk", "toxic", "toxic_junk")
-BUCKETS, BEGINNINGS, LONGEST = 1 << 22, range(3, 9), 64
+BUCKETS, BEGINNINGS = 1 << 22, range(3, 9)
 TRAIN_ROWS, FOLDS, INPUTS, LEAST_ROWS = 10_000, 3, 6_000, 3
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.1, 1e-4
+#: Words that a worker remembers.
+KNOWN = 30_000
 _WORD = re.compile(r"[^\W\d_]+|\||[!?]{2,}|[%&$#*]{3,}")
 
 
 class Features(dict):
-    """Word to the buckets of itself and its beginnings."""
+    """Word to the buckets of itself and its beginnings; as many words as a worker remembers."""
 
     def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= 200_000:
+        if len(self) >= KNOWN:
             self.clear()
-        names = [f"={word[:LONGEST]}", *(f"^{word[:n]}" for n in BEGINNINGS if n < len(word))]
-        value = self[word] = np.array([xxhash.xxh32_intdigest(x) % BUCKETS for x in names])
+        names = [f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if n < len(word))]
+        value = np.array([xxhash.xxh32_intdigest(x) % BUCKETS for x in names], np.int32)
+        if len(word) <= 64:
+            self[word] = value
         return value
 
 
@@ -57,7 +61,7 @@ def words(text: str | None) -> set[str]:
 
 def buckets(text: str | None) -> np.ndarray:
     found = [_features[w] for w in words(text)]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
 
 
 class Linear:
@@ -153,7 +157,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain:
         }
 
     known = map_batches(labelled(docs, labels, ["quality", "toxic"], most), features, "doc_id long, quality int, toxic int, row binary")
-    t = known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).orderBy("doc_id", "row", "quality", "toxic").toArrow()
+    t = first_rows(known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))), most, F.xxhash64("doc_id"), "doc_id", F.xxhash64("row"), "quality", "toxic")
     junk, toxic = 1 - t.column("quality").to_numpy(), t.column("toxic").to_numpy()
     rows = [np.frombuffer(r, "<i4") for r in t.column("row").to_pylist()]
     return Chain(rows, np.column_stack([junk, toxic, junk * toxic]), t.column("fold").to_numpy())

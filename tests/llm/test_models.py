@@ -81,6 +81,14 @@ def test_query_has_proximity(spark, documents, tmp_path):
     assert any(r[6] > r[3] for r in got.values()) and any(r[6] < len(items) for r in got.values())
 
 
+def test_proximity_stays_in_a_document(spark, documents):
+    """Any slop is allowed; a match never goes on in the next document."""
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    rows = [(1, "alpha " + "x " * 90), (2, "beta"), (3, "alpha " + "y " * 90 + "beta"), (4, "alpha " + "z " * 101 + "beta")]
+    got = {r.doc_id: r.n_near_items for r in decontam.contamination(documents(rows).coalesce(1), bench, slop=100).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
 def test_proximity(spark, documents):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     rows = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "alpha x y z beta gamma delta"), (4, "delta gamma beta alpha"), (5, "alpha alpha beta beta gamma delta")]
@@ -125,6 +133,9 @@ def test_quality(spark, documents):
     assert all(r.held_out == held_out(r.doc_id) for r in got if r.doc_id is not None)
     assert len(judged) > 80 and np.mean([r.predicted == truth[r.doc_id] for r in judged]) > 0.97
     assert all(r.predicted == int(r.score >= 0.7) for r in got)
+    long = [(9100, rows[2][1] * 400), (9101, "w" * 200_000), (9102, "w" * 200_000)]  # very long texts and words, ties
+    longer = {r.doc_id: r.score for r in quality.quality(documents(rows + long), table).collect()}
+    assert len(longer) == len(rows) + 3 and longer[9101] == longer[9102] and all(0 <= x <= 1 for x in longer.values())
     # the labels of held-out rows and all ids leave the scores as they are
     flip = [(i, 1 - q if held_out(i) else q, t) for i, q, t in labels]
     flipped = spark.createDataFrame([*flip, (None, 1, 0), (3, None, None), (7, 5, 1)], "doc_id long, quality int, toxic int")
@@ -136,6 +147,14 @@ def test_quality(spark, documents):
     assert quality.quality(documents([]), table).count() == 0
 
 
+def test_rows_that_share_an_id_are_limited(spark, documents):
+    """However many documents have a labelled id, a bounded number of rows comes to the driver."""
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = documents([(1, f"good {i}") for i in range(300)] + [(3, f"bad {i}") for i in range(300)])
+    table = quality.first_rows(quality.labelled(docs, labels, ["quality"], 50), 50, quality.F.xxhash64("text"))
+    assert table.num_rows == 50 and set(table.column("quality").to_pylist()) == {0, 1}
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     machine = quality.Machine(rng.normal(size=(40, quality.STATS)))
@@ -159,6 +178,12 @@ def test_toxicity(spark, documents):
     assert np.mean([r.toxic == bool(truth[r.doc_id]) for r in judged]) > 0.95
     assert all(0 <= r[f"p_{c}"] <= 1 for r in got for c in toxicity.CATEGORIES)
     assert not any(r.toxic for r in got if r.doc_id in (7000, 7001))
+    odd = [rows[0], rows[0], (8000, "x" * 300_000 + " " + rows[1][1]), (8001, rows[1][1] + " " + "x" * 300_000), (8002, rows[1][1] * 300)]
+    again = toxicity.toxicity(documents(rows + odd), table).collect()  # repeated rows, very long words and texts
+    score = {}
+    for r in again:
+        score.setdefault(r.doc_id, []).append(r.p_toxic)
+    assert len(score[0]) == 3 and len(set(score[0])) == 1 and score[8000] == score[8001] and len(again) == len(rows) + len(odd)
     assert not any(r.toxic for r in toxicity.toxicity(documents(rows[:4]), table.limit(0)).collect())
     assert toxicity.toxicity(documents([]), table).count() == 0
 
@@ -211,6 +236,17 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_equal_vectors_of_repeated_ids(spark):
+    """A query's own rows don't keep equal vectors of other ids out."""
+    rows = [(100, [1.0, 2.0], 1)] * 30 + [(i, [1.0, 2.0], 1) for i in (200, 207, 207, 207)] + [(i, [3.0, float(i)], 1) for i in range(1, 20)]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).where("query_id = 100").collect()]
+    assert [x[2] for x in sorted(got, key=lambda x: x[1])][:4] == [200, 207, 207, 207]
+    ids = np.sort(np.random.default_rng(0).integers(0, 9, 400))
+    keep = ann.matter(ids, np.ones((400, 2)), 3)
+    for q in range(-1, 9):  # what a query of that id finds
+        assert ids[keep][ids[keep] != q][:3].tolist() == ids[ids != q][:3].tolist()
+
+
 def test_anisotropic_codes_keep_inner_products():
     """Weighing parallel error gives smaller errors of large inner products than plain coding."""
     rng = np.random.default_rng(2)
