@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 from typing import Any
 
@@ -20,6 +22,9 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        # rows hold images: few of them make a batch of Python's
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
     def path(self, table: str, project: str | None = None) -> str:
         return f"{self.root}/{table}" + (f"/project={project}" if project else "")
@@ -38,8 +43,18 @@ class Catalog:
         fs.delete(where, True)
 
     def write(self, df: DataFrame, table: str, project: str) -> DataFrame:
-        """Replace a project's part of a table; the commit is atomic."""
-        df.drop("project").write.mode("overwrite").parquet(self.path(table, project))
+        """Replace a project's part of a table.
+
+        The new part is written aside and then moved into the old one's place. What is there is always one of
+        both as a whole, or, if the driver ends between removing and moving, neither: then the stage is stale.
+        """
+        fs, target = self._fs(self.path(table, project))
+        aside = f"{self.root}/_new/{uuid.uuid4().hex}"
+        df.drop("project").write.parquet(aside)
+        fs.delete(target, True)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(self._fs(aside)[1], target):
+            raise OSError(f"can't move {aside} to {target}")
         return self.read(table, project)
 
     def read(self, table: str, project: str, schema: str | None = None) -> DataFrame:
@@ -49,8 +64,43 @@ class Catalog:
         return self.spark.read.parquet(self.path(table, project)).withColumn("project", F.lit(project))
 
     def registry(self, project: str) -> DataFrame:
+        """The instances as the last processing left them; empty before."""
         return self.read("registry", project, schemas.REGISTRY)
 
+    def save_run_instances(self, run_id: str, instances: DataFrame) -> None:
+        """Keep the instances of a run."""
+        instances.write.mode("overwrite").parquet(f"{self.path('run_instances')}/run={run_id}")
+
+    def run_instances(self, run_id: str) -> DataFrame:
+        path = f"{self.path('run_instances')}/run={run_id}"
+        fs, where = self._fs(path)
+        if not fs.exists(where):
+            raise FileNotFoundError(f"no instances of run {run_id!r}")
+        return self.spark.read.parquet(path)
+
+    # ---- configurations, as JSON in tables
+
+    def save_run_config(self, run_id: str, project: str, config: dict[str, Any]) -> None:
+        """Keep the configuration a run was made with."""
+        self._configs([(run_id, project, json.dumps(config))]).write.mode("append").parquet(self.path("run_configs"))
+
+    def run_config(self, run_id: str) -> dict[str, Any] | None:
+        fs, where = self._fs(self.path("run_configs"))
+        rows = self.spark.read.parquet(self.path("run_configs")).where(F.col("run_id") == run_id).collect() if fs.exists(where) else []
+        return json.loads(rows[0]["config"]) if rows else None
+
+    def project_config(self, project: str, default: dict[str, Any] = cfg.DEFAULTS) -> dict[str, Any]:
+        """A project's configuration; where it has none it gets the default one."""
+        if not self.exists("configs", project):
+            self.write(self._configs([("", project, json.dumps(default))]), "configs", project)
+        return json.loads(self.read("configs", project).first()["config"])
+
+    def save_project_config(self, project: str, config: dict[str, Any]) -> None:
+        self.write(self._configs([("", project, json.dumps(config))]), "configs", project)
+
+    def _configs(self, rows: list[tuple[str, str, str]]) -> DataFrame:
+        return self.spark.createDataFrame(rows, "run_id string, project string, config string")
+
     # ---- stage state
 
     def state(self, project: str) -> dict[str, str]:

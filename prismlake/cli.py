@@ -21,9 +21,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("category", nargs="?")
     p.add_argument("--data", required=True, help="the dataset's folder (with --all: of all categories)")
     p.add_argument("--all", action="store_true")
+    p.add_argument("--download", action="store_true", help="fetch what isn't below the folder of --data yet")
     q = sub.add_parser("process")
     q.add_argument("project")
     q.add_argument("--force", choices=cfg.STAGES)
+    q.add_argument("--compat", action="store_true", help="historic hashes, and stages without input are left out")
     r = sub.add_parser("score")
     r.add_argument("project")
     r.add_argument("--method", choices=["mean", "max", "sum"])
@@ -40,19 +42,23 @@ def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("prismlake").getOrCreate()
     catalog = Catalog(spark, args.root)
-    config = cfg.load(args.config) if args.config else cfg.DEFAULTS
+    config = cfg.load(args.config) if args.config else cfg.merged(cfg.DEFAULTS, catalog.project_config(args.project)) if args.command != "prepare" else cfg.DEFAULTS
     if args.command == "prepare":
         wanted = sources.SOURCES.get(args.source, []) if args.all else [args.category]
         failed = 0
         for category in wanted:
             try:
-                print("prepared", projects.prepare_project(catalog, args.source, category, f"{args.data}/{category}" if args.all and args.source != "visa" else args.data))
-            except (FileNotFoundError, ValueError) as error:
+                folder = f"{args.data}/{category}" if args.all and args.source != "visa" and not args.download else args.data
+                project = projects.prepare_project(catalog, args.source, category, folder, download=args.download)
+                if args.config:
+                    catalog.save_project_config(project, config)
+                print("prepared", project)
+            except (OSError, ValueError) as error:
                 failed += 1
                 print(f"{category}: {error}")
         return int(failed > 0)
     if args.command == "process":
-        print(json.dumps(projects.process_project(catalog, args.project, config, force_from=args.force)))
+        print(json.dumps(projects.process_project(catalog, args.project, config, force_from=args.force, compat=args.compat)))
         return 0
     found = projects.score_project(catalog, args.project, config, method=args.method, min_pct=args.min_pct, max_pct=args.max_pct, pixel_sample=args.pixel_sample)
     print(json.dumps(found))

@@ -7,6 +7,7 @@ import hashlib
 import json
 from typing import Any
 
+# Default parameters.
 DEFAULTS: dict[str, Any] = {
     "segmentation": {"prompts": ["foreground object"], "enabled": True, "multi_instance": True},
     "crop": {"reference_id": None, "align_PCA": True, "angle_candidates": [0, 180], "offset_rotation": 0, "scale": 1.0},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,30 +17,44 @@ def is_finite(c: Column | str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
-def band_score(values: DataFrame, keys: list[str], value: str, low: float, high: float, method: str = "mean") -> DataFrame:
-    """By keys the mean, max or sum (else the mean) of the values between two percentiles, both included.
+def percentile_of(ordered: Column, share: float) -> Column:
+    """Linearly interpolated percentile of a sorted array without nulls."""
+    at = F.lit(share) * (F.size(ordered) - 1)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    below, above = F.get(ordered, low), F.get(ordered, high)
+    return F.when(low == high, below).otherwise((high - at) * below + (at - low) * above)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def band_of(values: Column | str, low: float, high: float, method: str = "mean") -> Column:
+    """Score of an array: the mean, max or sum (else the mean) of the values between two percentiles, both included.
 
     Without values in the band those from the lower percentile on count, without these all. A raster with a NaN
-    scores NaN, as its percentiles are unknown and its mean is NaN.
+    scores NaN, as its percentiles are unknown and its mean is NaN; one without values scores null.
     """
-    bounds = values.groupBy(*keys).agg(
-        F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_b"),
-        F.coalesce(F.max(F.isnan(value)), F.lit(False)).alias("_nan"),
-    )
-    v = F.col(value)
-    joined = values.join(bounds, keys)
-    inside, above = (v >= F.col("_b")[0]) & (v <= F.col("_b")[1]), v >= F.col("_b")[0]
-    kind = {"max": F.max, "sum": F.sum}.get(method, F.avg)
-    grouped = joined.groupBy(*keys).agg(
-        F.max("_nan").alias("_nan"),
-        F.count_if(inside).alias("_in"),
-        F.count_if(above).alias("_above"),
-        kind(F.when(inside, v)).alias("_a"),
-        kind(F.when(above, v)).alias("_b"),
-        kind(v).alias("_c"),
-    )
-    score = F.when(F.col("_nan"), F.lit(float("nan"))).when(F.col("_in") > 0, F.col("_a")).when(F.col("_above") > 0, F.col("_b")).otherwise(F.col("_c"))
-    return grouped.select(*keys, score.alias("score"))
+
+    def score(v: Column) -> Column:
+        bounds = F.struct(percentile_of(v, low / 100).alias("lo"), percentile_of(v, high / 100).alias("hi"))
+        found = let(bounds, lambda b: let(F.filter(v, lambda x: (x >= b["lo"]) & (x <= b["hi"])), lambda inside: or_else(inside, let(F.filter(v, lambda x: x >= b["lo"]), lambda above: or_else(above, total(v))))))
+        return F.when(F.size(v) < 1, F.lit(None).cast("double")).when(F.isnan(F.get(v, F.size(v) - 1)), F.lit(float("nan"))).otherwise(found)
+
+    def total(x: Column) -> Column:
+        added = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
+        return {"max": F.array_max(x), "sum": added}.get(method, added / F.size(x))
+
+    def or_else(x: Column, other: Column) -> Column:
+        return F.when(F.size(x) > 0, total(x)).otherwise(other)
+
+    return let(F.array_sort(F.filter(F.transform(values, lambda x: x.cast("double")), lambda x: x.isNotNull())), score)  # NaN comes last
+
+
+def band_score(values: DataFrame, keys: list[str], value: str, low: float, high: float, method: str = "mean") -> DataFrame:
+    """By keys the band score, as in band_of(), of a column's values, which are collected once: a raster each."""
+    return values.groupBy(*keys).agg(F.collect_list(value).alias("_values")).select(*keys, band_of("_values", low, high, method).alias("score"))
 
 
 def thresholds(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -74,20 +90,17 @@ def average_precision() -> Column:
 
 
 def per_defect(rows: DataFrame, score: str, label: str, good: str = "good") -> DataFrame:
-    """AUROC of each label other than good against all good rows; (label, auroc).
+    """AUROC of each label other than good against all good rows; (defect, auroc), null without good rows.
 
-    The good rows are aggregated by score before each label gets them, so a defect meets distinct scores only.
+    Each defect score's share of lower good scores (half of equal ones) is read off the thresholds of all rows, so
+    good rows aren't dealt out to the defects, and no task gets all of them.
     """
-    defects = rows.where(F.col(label) != good).select(F.col(label).alias("defect")).distinct()
-    normal = rows.where(F.col(label) == good).groupBy(score).agg(F.count("*").alias("k"))
-    own = rows.where(F.col(label) != good).groupBy(F.col(label).alias("defect"), score).agg(F.count("*").alias("k"))
-    every = own.withColumn("pos", F.lit(True)).unionByName(normal.join(F.broadcast(defects)).withColumn("pos", F.lit(False)))
-    t = every.groupBy("defect", F.col(score).alias("s")).agg(
-        F.sum(F.when(F.col("pos"), F.col("k")).otherwise(0)).alias("p"), F.sum(F.when(F.col("pos"), 0).otherwise(F.col("k"))).alias("n")
-    )
-    down = Window.partitionBy("defect").orderBy(F.desc("s"))
-    t = t.withColumn("tp", F.sum("p").over(down))
-    return t.groupBy("defect").agg(auroc().alias("auroc"))
+    curve = thresholds(rows, score, F.col(label) != good)
+    total = rows.agg(F.count_if(F.col(label) == good)).scalar()
+    own = rows.where(F.col(label) != good).groupBy(F.col(label).alias("defect"), F.col(score).alias("s")).agg(F.count("*").alias("k"))
+    placed = own.join(curve.select("s", "n", "fp"), "s").withColumn("_good", total)
+    lower = F.sum(F.col("k") * (F.col("_good") - F.col("fp") + F.col("n") / 2.0))
+    return placed.groupBy("defect", "_good").agg(F.when(F.col("_good") > 0, lower / (F.sum("k").cast("double") * F.col("_good"))).alias("auroc")).select("defect", "auroc")
 
 
 def moments(rows: DataFrame, score: str, anomalous: Column) -> DataFrame:

@@ -190,14 +190,26 @@ def box(a: np.ndarray, radius: int) -> np.ndarray:
 
 
 def guided(a: np.ndarray, guide: np.ndarray | None, radius: int = 8, eps: float = 0.01) -> np.ndarray:
-    """Guided filter of the heatmap (256 levels) along the edges of the source image; without one the heatmap stays."""
+    """Guided filter of the heatmap (256 levels) along the edges of the source image; without one the heatmap stays.
+
+    Intensities count from 0 to 255, for eps too. A colour image guides with its three channels: in each window the
+    heatmap is fitted as a linear function of the colour.
+    """
     if guide is None:
         return a
-    source = np.rint(normalized(a) * 255) / 255
-    g = resize(gray(guide), (a.shape[1], a.shape[0])) / 255
-    mean_g, mean_a = box(g, radius), box(source, radius)
-    slope = (box(g * source, radius) - mean_g * mean_a) / (box(g * g, radius) - mean_g**2 + eps)
-    return np.rint(np.clip(box(slope, radius) * g + box(mean_a - slope * mean_g, radius), 0, 1) * 255) / 255
+    source = np.floor(normalized(a) * 255)
+    g = resize(guide.astype(float), (a.shape[1], a.shape[0])).reshape(*a.shape, -1)
+    every = range(g.shape[2])
+    mean_a, mean_g = box(source, radius), np.stack([box(g[..., i], radius) for i in every], axis=2)
+    spread = np.empty((*a.shape, len(every), len(every)))
+    for i in every:
+        for j in every:
+            spread[..., i, j] = box(g[..., i] * g[..., j], radius) - mean_g[..., i] * mean_g[..., j] + eps * (i == j)
+    shared = np.stack([box(g[..., i] * source, radius) - mean_g[..., i] * mean_a for i in every], axis=2)
+    slope = np.linalg.solve(spread, shared[..., None])[..., 0]
+    rest = mean_a - (slope * mean_g).sum(axis=2)
+    out = sum(box(slope[..., i], radius) * g[..., i] for i in every) + box(rest, radius)
+    return np.rint(np.clip(out, 0, 255)) / 255
 
 
 def _ellipse(size: int) -> np.ndarray:
@@ -242,6 +254,45 @@ def refiner(config: dict, method: str):
     }.get(method, lambda a, image: a)
 
 
+# ---- drawings
+
+
+def segment_distance(shape: tuple[int, int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the segment from a to b (x, y)."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    d = b - a
+    t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(float(d @ d), 1e-12), 0, 1)
+    return np.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1])
+
+
+def crop_box(matrix: np.ndarray, crop: tuple[int, int], size: tuple[int, int], colour: tuple[int, int, int] = (255, 0, 255)) -> np.ndarray:
+    """A crop's frame, its long axis and its centre, drawn on a black canvas of the original's (width, height)."""
+    m = matrix.reshape(2, 3)
+    back = lambda x, y: np.linalg.solve(m[:, :2], np.array([x, y], float) - m[:, 2])
+    w, h = crop
+    corners = [back(x, y) for x, y in ((0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1))]
+    axis = (back(0, h / 2), back(w - 1, h / 2)) if w >= h else (back(w / 2, 0), back(w / 2, h - 1))
+    out, shape = np.zeros((size[1], size[0], 3), np.uint8), (size[1], size[0])
+    for a, b in [*zip(corners, corners[1:] + corners[:1]), axis]:
+        out[segment_distance(shape, a, b) <= 1] = colour
+    centre = back(w / 2, h / 2)
+    out[segment_distance(shape, centre, centre) <= 4] = colour
+    return out
+
+
+#: Colours of an overlay's heat, evenly spaced from the least to the most.
+HEAT = np.array([(0, 0, 4), (81, 18, 124), (183, 55, 121), (252, 137, 97), (252, 253, 191)], float)
+
+
+def overlay(image: np.ndarray, heatmap: np.ndarray, share: float = 0.6) -> np.ndarray:
+    """The image with a heatmap, scaled to its range, over it: `share` of the heat's colour in each pixel."""
+    rgb = np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image
+    heat = resize(heatmap.astype(float), (rgb.shape[1], rgb.shape[0]))
+    heat = (heat - heat.min()) / (heat.max() - heat.min() + 1e-8)
+    colour = np.stack([np.interp(heat, np.linspace(0, 1, len(HEAT)), HEAT[:, c]) for c in range(3)], axis=2)
+    return ((1 - share) * rgb + share * colour).astype(np.uint8)
+
+
 # ---- scoring
 
 

@@ -40,16 +40,21 @@ def k_center(pooled: DataFrame, project: str, instance: str, vector: str, k: int
     return pooled.select(project, instance, vector).groupBy(project).applyInPandas(pick, f"{project} {types[project]}, rank int, {instance} {types[instance]}")
 
 
+def drawn(seed: int, *columns: str) -> Column:
+    """What random choices are ordered by: the MD5 of the seed and some columns, which any engine can compute."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
+
+
 def random_k(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows by the least seeded hash of their key: without replacement, the same on every run."""
     if k > rows.count():
         raise ValueError("more rows asked for than there are")
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return rows.orderBy(drawn(seed, key), key).limit(k)
 
 
 def sample_per_group(rows: DataFrame, group: list[str], key: list[str], k: int | None, seed: int = 0) -> DataFrame:
     """At most k rows of each group by the least seeded hash; all for none or k <= 0."""
     if not k or k <= 0:
         return rows
-    order = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), *group, *key), *key)
+    order = Window.partitionBy(*group).orderBy(drawn(seed, *group, *key), *key)
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions import ids
@@ -115,15 +115,20 @@ def defect_set_join(spark, sf_dir):
     return rows.groupBy("object").agg(F.array_join(F.sort_array(F.collect_set("to_label")), ", ").alias("defects"))
 
 
+def pending(spark, sf_dir) -> DataFrame:
+    """Orders that play the masks of those images that have any."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+
+
 @query("SELECT c_custkey, r_name FROM customer, region")
 def prompts_cross(spark, sf_dir):
     """Images times prompts; the prompts are a handful by configuration."""
     return table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_name")))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def images_without_masks(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(pending(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -131,18 +136,18 @@ def semi_existing(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("""WITH m AS (SELECT c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))
+@query("""WITH m AS (SELECT c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'))
   SELECT c_name, (SELECT greatest(count(*) - 10, 0) FROM m)::BIGINT AS more FROM m ORDER BY c_name LIMIT 10""")
 def first_ten_failures(spark, sf_dir):
     """What an error lists: the first ten by name, and how many more there are."""
-    missing = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_name")
+    missing = table(spark, sf_dir, "customer").join(pending(spark, sf_dir), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_name")
     more = missing.agg(F.greatest(F.count("*") - 10, F.lit(0)).cast("long")).scalar()
     return missing.orderBy("c_name").limit(10).withColumn("more", more)
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(pending(spark, sf_dir).select("o_custkey"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) - 1)::INTEGER AS idx FROM conversations")

@@ -15,6 +15,7 @@ from prismlake.catalog import ARTIFACTS, Catalog
 from prismlake.functions import ids, metrics
 from prismlake.operators import select
 from prismlake.sources import images as sources
+from prismlake.sources import urls
 
 from . import stages
 from .stages import Context
@@ -23,25 +24,38 @@ from .stages import Context
 # ---- prepare
 
 
-def prepare_project(catalog: Catalog, source: str, category: str, root: str, *, name: str | None = None) -> str:
+def prepare_project(catalog: Catalog, source: str, category: str, root: str, *, name: str | None = None, download: bool = False) -> str:
     """Read a dataset's folder into the project's image and ground-truth tables; returns the project's name.
 
     source: visa (with split CSVs), mvtec_ad, mvtec_loco, mvtec_ad2 or local (folders by split and label).
+    download: root is a folder of datasets, to which the category's archive is fetched and unpacked unless it is there.
+    The project gets the default configuration unless it has one.
     """
     source, project = source.lower(), name or category
     spark = catalog.spark
     if source != "local":
         sources.check_category(source, category)
+        if download:
+            root = urls.download(source, category, f"{root}/{source}")
     if source == "visa":
+        known = sources.categories(spark, root)
+        if category not in known:
+            raise ValueError(f"unknown category {category!r}; one of {', '.join(known)}")
         rows, truth = _visa(spark, root, category)
     else:
-        rows = sources.image_tree(spark, root)
-        labels = {(r["split"], r["label"]) for r in rows.select("split", "label").distinct().collect()}  # folder names
+        labels = {(r["split"], r["label"]) for r in sources.image_list(spark, root).select("split", "label").distinct().collect()}  # folder names
         if ("train", "good") not in labels or not any(s == "test" for s, _ in labels):
             raise FileNotFoundError(f"{root}: needs train/good and test")
-        truth = sources.image_tree(spark, root, ("ground_truth",)).select("label", F.regexp_replace("stem", "_mask$", "").alias("stem"), "height", "width", "channels", "data")
+        rows = sources.image_tree(spark, root)
+        truth = sources.image_tree(spark, root, ("ground_truth",))
+        own = F.regexp_replace("stem", "_mask$", "")
+        names = sources.image_list(spark, root, ("ground_truth",)).groupBy("label", own.alias("own")).agg(F.count_distinct("stem").alias("n"))
+        if not names.where("n > 1").isEmpty():  # the shorter name counts
+            truth = truth.groupBy("label", own.alias("own")).agg(F.min_by(F.struct("stem", "height", "width", "channels", "data"), "stem").alias("t")).select("label", "t.*")
+        truth = truth.select("label", own.alias("stem"), "height", "width", "channels", "data")
     catalog.write(rows, "images", project)
-    catalog.write(truth.dropDuplicates(["label", "stem"]), "ground_truth", project)
+    catalog.write(truth, "ground_truth", project)
+    catalog.project_config(project)
     return project
 
 
@@ -55,7 +69,7 @@ def _visa(spark: SparkSession, root: str, category: str) -> tuple[DataFrame, Dat
     files = files.select(at.alias("file"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     rows = plan.join(files, plan["image"] == files["file"]).select("split", "label", ids.file_stem("image").alias("stem"), ids.extension("image").alias("ext"), "height", "width", "channels", "data")
     masks = plan.where("label <> 'good'").join(files, plan["mask"] == files["file"]).select("label", ids.file_stem("image").alias("stem"), "height", "width", "channels", "data")
-    return rows, masks
+    return rows, masks.dropDuplicates(["label", "stem"])
 
 
 def ingest_counts(catalog: Catalog, project: str) -> DataFrame:
@@ -69,24 +83,39 @@ def ingest_counts(catalog: Catalog, project: str) -> DataFrame:
 # ---- process
 
 
-def process_project(catalog: Catalog, project: str, config: dict[str, Any], *, force_from: str | None = None, context: Context | None = None) -> dict[str, Any]:
-    """Run the stages whose parameters or tables have changed, and all after them; a second call runs none."""
+#: The tables that a stage reads.
+NEEDS = {"segment": ["images"], "crop": ["images", "masks"], "embed": ["crops"], "bank": ["patches"], "heatmap": ["patches", "bank", "crops"], "refine": ["images", "heatmaps"]}
+
+
+def process_project(catalog: Catalog, project: str, config: dict[str, Any], *, force_from: str | None = None, context: Context | None = None, compat: bool = False) -> dict[str, Any]:
+    """Run the stages whose parameters or tables have changed, and all after them; a second call runs none.
+
+    At the end the registry of instances is written. Without images it is an error; with compat, where nothing is there to
+    segment, stages without the table they need are left out and named in stages_skipped, and hashes and bank
+    membership are the historic ones.
+    """
     ctx = context or Context(config)
-    if not catalog.exists("images", project):
+    if not catalog.exists("images", project) and not compat:
         raise FileNotFoundError(f"project {project!r} has no images; prepare it first")
     if force_from is not None:
         if force_from not in cfg.STAGES:
             raise ValueError(f"unknown stage {force_from!r}; one of {', '.join(cfg.STAGES)}")
         todo = cfg.STAGES[cfg.STAGES.index(force_from) :]
     else:
-        todo = catalog.invalid_stages(project, config)
-    for stage in todo:
-        catalog.invalidate(project, stage)
-    began, timings = time.time(), {}
+        todo = catalog.invalid_stages(project, config, compat)
+    began, timings, skipped = time.time(), {}, []
     read = lambda stage: catalog.read(ARTIFACTS[stage], project).drop("project")
-    images = catalog.read("images", project).drop("project")
+    if catalog.exists("images", project):
+        for stage in todo:
+            catalog.invalidate(project, stage)
+        images = catalog.read("images", project).drop("project")
     for stage in todo:
         start = time.time()
+        if missing := [t for t in NEEDS[stage] if not catalog.exists(t, project)]:
+            if not compat:
+                raise FileNotFoundError(f"stage {stage!r} of project {project!r} needs {', '.join(missing)}")
+            skipped.append(stage)
+            continue
         if stage == "segment":
             catalog.write(stages.segment(ctx, images), ARTIFACTS[stage], project)
             stages.require_masks(images, read("segment"))
@@ -100,9 +129,12 @@ def process_project(catalog: Catalog, project: str, config: dict[str, Any], *, f
             catalog.write(stages.heatmaps(ctx, read("embed"), read("bank"), read("crop")), ARTIFACTS[stage], project)
         else:
             catalog.write(stages.refine(ctx, read("heatmap"), images), ARTIFACTS[stage], project)
-        catalog.save_state(project, stage, cfg.stage_hash(config, stage))
+        catalog.save_state(project, stage, cfg.stage_hash(config, stage, compat))
         timings[stage] = time.time() - start
-    return {"project": project, "instances": read("segment").count(), "stages_run": todo, "timings": timings, "total_time": time.time() - began}
+    if timings or (not skipped and not catalog.exists("registry", project)):
+        catalog.write(registry(catalog, project, compat=compat), "registry", project)
+    ran = [s for s in todo if s not in skipped]
+    return {"project": project, "instances": catalog.registry(project).count(), "stages_run": ran, "stages_skipped": skipped, "timings": timings, "total_time": time.time() - began}
 
 
 def registry(catalog: Catalog, project: str, *, compat: bool = False) -> DataFrame:
@@ -122,19 +154,21 @@ def registry(catalog: Catalog, project: str, *, compat: bool = False) -> DataFra
 
 
 def image_scores(maps: DataFrame, method: str, low: float, high: float) -> DataFrame:
-    """label, stem and band score of each test heatmap."""
-    pixels = maps.where("split = 'test'").select("label", "stem", F.explode("data").alias("v")).withColumn("v", F.col("v").cast("double"))
-    return metrics.band_score(pixels, ["label", "stem"], "v", low, high, method)
+    """label, stem and band score of each test heatmap, each where its row is."""
+    return maps.where("split = 'test'").select("label", "stem", metrics.band_of("data", low, high, method).alias("score"))
 
 
 def pixel_rows(maps: DataFrame, truth: DataFrame, sample: int | None) -> DataFrame:
-    """y and v of the pixels (a sample of each image) of test images with ground truth of the same size."""
+    """y and v of the pixels (a sample of each image) of test images with ground truth of the same size.
+
+    A pixel takes its byte of the mask along, not the mask, so only pixels of the sample are shuffled.
+    """
     bits = truth.select("label", "stem", "height", "width", "channels", F.col("data").alias("mask"))
     both = maps.where("split = 'test'").join(bits, ["label", "stem"]).where("h = height AND w = width")
     pixels = both.select("label", "stem", "channels", "mask", F.posexplode("data").alias("i", "v"))
     byte = F.conv(F.hex(F.substring("mask", (F.col("i") * F.col("channels") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    pixels = select.sample_per_group(pixels, ["label", "stem"], ["i"], sample)
-    return pixels.select((byte > 127).alias("y"), F.col("v").cast("double").alias("v"))
+    pixels = pixels.select("label", "stem", "i", F.col("v").cast("double").alias("v"), (byte > 127).alias("y"))
+    return select.sample_per_group(pixels, ["label", "stem"], ["i"], sample).select("y", "v")
 
 
 def score_project(catalog: Catalog, project: str, config: dict[str, Any], *, method: str | None = None, min_pct: float | None = None, max_pct: float | None = None, pixel_sample: int | None = 100_000, save: bool = True) -> dict[str, Any] | None:
@@ -165,6 +199,8 @@ def score_project(catalog: Catalog, project: str, config: dict[str, Any], *, met
     }
     if save:
         catalog.append_run(row, {d: a for d, a in defects.items() if a is not None})
+        catalog.save_run_config(row["run_id"], project, config)
+        catalog.save_run_instances(row["run_id"], catalog.registry(project))
     return row | {"per_defect": defects}
 
 

@@ -26,13 +26,23 @@ class SegmentationError(RuntimeError):
 
 
 class Segmenter(Protocol):
+    """One image's masks; a model that takes several images at once also has many(images, prompt)."""
+
     def __call__(self, image: np.ndarray, prompt: str) -> list[np.ndarray]: ...
 
 
 class Embedder(Protocol):
+    """One image's grid of vectors; a model that takes several images at once also has many(images, grid)."""
+
     def __call__(self, image: np.ndarray, grid: tuple[int, int]) -> np.ndarray: ...
 
 
+def answers(model: Callable, images: list[np.ndarray], *more: Any) -> list:
+    """A model's answers for some images, in one call where it takes several."""
+    many = getattr(model, "many", None)
+    return list(many(images, *more)) if many else [model(image, *more) for image in images]
+
+
 def threshold_segmenter(image: np.ndarray, prompt: str) -> list[np.ndarray]:
     """Stand-in for a model: what is brighter than the mean of the darkest and brightest pixel."""
     g = raster.gray(image).astype(float)
@@ -65,6 +75,9 @@ class Context:
     config: dict[str, Any]
     segmenter: Callable = threshold_segmenter
     embedder: Callable = patch_statistics
+    #: Images in a call of the models.
+    segment_batch: int = 8
+    embed_batch: int = 16
 
     @property
     def grid(self) -> tuple[int, int]:
@@ -81,7 +94,8 @@ def _image(row: dict) -> np.ndarray:
     return raster.from_spark(row["height"], row["width"], row["channels"], row["data"])
 
 
-def _rows(fn: Callable[[dict], Iterator[dict]], schema: str) -> Callable:
+def _batched(fn: Callable[[list[dict]], Iterator[dict]], schema: str, size: int = 1) -> Callable:
+    """A function of at most `size` rows for mapInArrow; arrays of numbers may come as numpy arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -89,14 +103,18 @@ def _rows(fn: Callable[[dict], Iterator[dict]], schema: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = list(fn(row))
+            for i in range(0, batch.num_rows, size):
+                found = list(fn(batch.slice(i, size).to_pylist()))
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=target)
 
     return run
 
 
+def _rows(fn: Callable[[dict], Iterator[dict]], schema: str) -> Callable:
+    return _batched(lambda rows: fn(rows[0]), schema)
+
+
 MASKS = "split string, label string, stem string, prompt string, prompt_pos int, mask_pos int, h int, w int, mask binary"
 
 
@@ -112,16 +130,17 @@ def segment(ctx: Context, images: DataFrame) -> DataFrame:
         return _instances(blank)
     prompts, several, segmenter = seg["prompts"], seg.get("multi_instance", True), ctx.segmenter
 
-    def masks(row: dict) -> Iterator[dict]:
-        image = _image(row)
+    def masks(rows: list[dict]) -> Iterator[dict]:
+        pictures = [_image(row) for row in rows]
         for k, prompt in enumerate(prompts):
-            found = extract_masks(segmenter(image, prompt))
-            if not several and len(found) > 1:
-                found = [np.logical_or.reduce(found)]
-            for i, m in enumerate(found):
-                yield {"split": row["split"], "label": row["label"], "stem": row["stem"], "prompt": prompt, "prompt_pos": k, "mask_pos": i, "h": m.shape[0], "w": m.shape[1], "mask": m.astype(np.uint8).tobytes()}
-
-    found = images.mapInArrow(_rows(masks, MASKS), MASKS)
+            for row, result in zip(rows, answers(segmenter, pictures, prompt)):
+                found = extract_masks(result)
+                if not several and len(found) > 1:
+                    found = [np.logical_or.reduce(found)]
+                for i, m in enumerate(found):
+                    yield {"split": row["split"], "label": row["label"], "stem": row["stem"], "prompt": prompt, "prompt_pos": k, "mask_pos": i, "h": m.shape[0], "w": m.shape[1], "mask": m.astype(np.uint8).tobytes()}
+
+    found = images.mapInArrow(_batched(masks, MASKS, ctx.segment_batch), MASKS)
     order = Window.partitionBy("split", "label", "stem").orderBy("prompt_pos", "mask_pos")
     return _instances(found.withColumn("idx", F.row_number().over(order) - 1))
 
@@ -186,21 +205,26 @@ def crop_metadata(crops: DataFrame) -> DataFrame:
     return grouped.withColumn("image", ids.image_id("split", "label", "stem"))
 
 
-EMBEDDED = "split string, label string, stem string, instance_id string, p int, v array<double>"
+EMBEDDED = "split string, label string, stem string, instance_id string, p int, v array<float>"
 
 
 def embed(ctx: Context, crops: DataFrame) -> DataFrame:
-    """Unit patch vectors by place (row-major)."""
+    """Unit patch vectors in single precision by place (row-major)."""
     grid, embedder = ctx.grid, ctx.embedder
 
-    def vectors(row: dict) -> Iterator[dict]:
+    def image(row: dict) -> np.ndarray:
         w, h = row["crop_size"]
         a = np.frombuffer(row["crop"], np.uint8)
-        image = a.reshape(h, w) if row["channels"] == 1 else a.reshape(h, w, 3)
-        for p, v in enumerate(embedder(image, grid).reshape(grid[0] * grid[1], -1)):
-            yield {k: row[k] for k in ("split", "label", "stem", "instance_id")} | {"p": p, "v": v.tolist()}
+        return a.reshape(h, w) if row["channels"] == 1 else a.reshape(h, w, 3)
+
+    def vectors(rows: list[dict]) -> Iterator[dict]:
+        for row, found in zip(rows, answers(embedder, [image(r) for r in rows], grid)):
+            v = np.asarray(found, float).reshape(grid[0] * grid[1], -1)
+            v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vec.EPS)).astype(np.float32)
+            for p in range(len(v)):
+                yield {k: row[k] for k in ("split", "label", "stem", "instance_id")} | {"p": p, "v": v[p]}
 
-    return crops.mapInArrow(_rows(vectors, EMBEDDED), EMBEDDED).withColumn("v", vec.unit("v"))
+    return crops.mapInArrow(_batched(vectors, EMBEDDED, ctx.embed_batch), EMBEDDED)
 
 
 def bank(ctx: Context, patches: DataFrame) -> DataFrame:
@@ -233,13 +257,13 @@ def heatmaps(ctx: Context, patches: DataFrame, bank_: DataFrame, crops: DataFram
         size = tuple(row["original_size"])
         # the crop's transform leads from a place in the original to one in the crop
         back = raster.warp(raster.resize(a, out), row["crop_transform"], size, inverse=True)
-        yield {"split": row["split"], "label": row["label"], "stem": row["stem"], "w": size[0], "h": size[1], "data": back.astype(np.float32).ravel().tolist()}
+        yield {"split": row["split"], "label": row["label"], "stem": row["stem"], "w": size[0], "h": size[1], "data": back.astype(np.float32).ravel()}
 
     maps = rows.mapInArrow(_rows(revert, schema), schema)
 
     def compose(row: dict) -> Iterator[dict]:
         whole = np.maximum(0, np.max([np.array(d, np.float32) for d in row["parts"]], axis=0))
-        yield {k: row[k] for k in ("split", "label", "stem", "w", "h")} | {"data": whole.tolist()}
+        yield {k: row[k] for k in ("split", "label", "stem", "w", "h")} | {"data": whole}
 
     # an image's instances are few; together they are one row
     parts = maps.groupBy("split", "label", "stem", "w", "h").agg(F.collect_list("data").alias("parts"))
@@ -261,6 +285,6 @@ def refine(ctx: Context, maps: DataFrame, images: DataFrame) -> DataFrame:
     def one(row: dict) -> Iterator[dict]:
         image = None if row["pixels"] is None else raster.from_spark(row["height"], row["width"], row["channels"], row["pixels"])
         a = fn(np.array(row["data"], float).reshape(row["h"], row["w"]), image)
-        yield {k: row[k] for k in ("split", "label", "stem", "w", "h")} | {"data": np.asarray(a, np.float32).ravel().tolist()}
+        yield {k: row[k] for k in ("split", "label", "stem", "w", "h")} | {"data": np.asarray(a, np.float32).ravel()}
 
     return rows.mapInArrow(_rows(one, schema), schema)

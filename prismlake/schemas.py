@@ -9,8 +9,6 @@ REGISTRY = (
     "project string, instance_id string, image string, split string, label string, mask_area_px long, segment_prompt string, "
     "crop_iou double, crop_size array<int>, alignment_angle double, crop_transform array<double>, embed_shape array<int>, in_bank boolean"
 )
-RASTER = "project string, split string, label string, instance_id string, h int, w int, data binary"
-PATCHES = "project string, split string, label string, instance_id string, p int, v array<double>"
 RUNS = (
     "run_id string, project string, timestamp string, mode string, heatmap_source string, method string, min_pct double, max_pct double, "
     "map_resolution_area long, pixel_sample long, n_test_heatmaps long, n_normal_images long, n_anomaly_images long, score_time_s double, "
@@ -18,4 +16,3 @@ RUNS = (
     "anomaly_min double, separation double, auroc_pixel double"
 )
 RUN_DEFECTS = "run_id string, project string, defect string, auroc double"
-CROP_METADATA = "image string, original_size array<int>, instances array<struct<instance_id:string,transform:array<double>,crop_size:array<int>>>"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import io
-import os
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +39,37 @@ def heatmap_files(maps: DataFrame, kind: str = "refined") -> DataFrame:
     return _files(maps.select("split", "label", "stem", "h", "w", "data"), path, npy)
 
 
+def box_files(crops: DataFrame) -> DataFrame:
+    """crops/boxes/{split}/{label}/{instance_id}.png: each crop's frame, axis and centre on a blank canvas."""
+    path = F.concat_ws("/", F.lit("crops"), F.lit("boxes"), "split", "label", F.concat("instance_id", F.lit(".png")))
+    rows = crops.select("split", "label", "instance_id", "crop_transform", "crop_size", "original_size")
+    return _files(rows, path, lambda r: raster.png(raster.crop_box(np.array(r["crop_transform"]), tuple(r["crop_size"]), tuple(r["original_size"]))))
+
+
+def overlay_files(images: DataFrame, maps: DataFrame) -> DataFrame:
+    """overlays/{split}/{label}/{stem}.png: heatmaps in colour over their images."""
+    path = F.concat_ws("/", F.lit("overlays"), "split", "label", F.concat("stem", F.lit(".png")))
+    source = images.select("split", "label", "stem", "height", "width", "channels", F.col("data").alias("pixels"))
+    rows = maps.select("split", "label", "stem", "h", "w", "data").join(source, ["split", "label", "stem"])
+
+    def drawn(r: dict) -> bytes:
+        image = raster.from_spark(r["height"], r["width"], r["channels"], r["pixels"])
+        return raster.png(raster.overlay(image, np.array(r["data"], float).reshape(r["h"], r["w"])))
+
+    return _files(rows, path, drawn)
+
+
 def write_files(files: DataFrame, root: str) -> None:
-    """Each file below a folder that all workers share, written aside and renamed."""
+    """Each file below a folder that all workers share (a path, or an address of a store), written aside and moved."""
 
     def write(rows) -> None:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         for r in rows:
-            target = os.path.join(root, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target + ".part", "wb") as f:
+            target = f"{base}/{r['path']}"
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(target + ".part") as f:
                 f.write(r["content"])
-            os.replace(target + ".part", target)
+            store.move(target + ".part", target)
 
     files.foreachPartition(write)
 

@@ -7,7 +7,7 @@ import shutil
 import tarfile
 import urllib.request
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import ids
@@ -28,22 +28,66 @@ def check_category(source: str, category: str) -> None:
         raise ValueError(f"unknown category {category!r}; one of {', '.join(sorted(known))}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _place(path: Column) -> list[Column]:
+    """split, label, stem and ext of .../{split}/{label}/{stem}.{ext}."""
+    split, label = (F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+$", i) for i in (1, 2))
+    return [split.alias("split"), label.alias("label"), ids.file_stem(path).alias("stem"), ids.extension(path).alias("ext")]
+
+
+def _folders(spark: SparkSession, root: str, splits: tuple[str, ...]) -> str | None:
+    """A pattern of the splits' label folders, None if there are none."""
+    pattern = f"{root}/{{{','.join(splits)}}}/*"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return pattern if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) else None
+
+
+def image_list(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
+    """path, split, label, stem, ext of the images below root, without reading them."""
+    folders = _folders(spark, root, splits)
+    if folders is None:
+        return spark.createDataFrame([], "path string, split string, label string, stem string, ext string")
+    files = spark.read.format("binaryFile").load(folders).select("path")
+    return files.select("path", *_place(F.col("path"))).where(F.col("split").isin(*splits) & F.col("ext").isin(ids.IMAGE_EXTENSIONS))
+
+
+#: Files that share their stem with another one and are read by themselves; with more all images are shuffled.
+NAMES = 10_000
+_IMAGES = "split string, label string, stem string, ext string, height int, width int, channels int, data binary"
+
+
 def image_tree(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "test")) -> DataFrame:
     """root/{split}/{label}/{stem}.{ext}: split, label, stem, ext, height, width, channels, data (BGR).
 
-    Files that can't be decoded are left out. Where a stem has two extensions the smaller one counts.
+    Files that can't be decoded are left out. Where a stem has two extensions the smaller one that can be decoded
+    counts. Which stems have several is settled on names, so only those files are compared after decoding.
     """
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-    path = F.col("image.origin")
-    rows = images.select(
-        F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+$", 1).alias("split"),
-        F.regexp_extract(path, r"([^/]+)/([^/]+)/[^/]+$", 2).alias("label"),
-        ids.file_stem(path).alias("stem"),
-        ids.extension(path).alias("ext"),
-        F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
-    )
-    rows = rows.where(F.col("split").isin(*splits) & F.col("ext").isin(ids.IMAGE_EXTENSIONS))
-    return rows.groupBy("split", "label", "stem").agg(F.min_by(F.struct("ext", "height", "width", "channels", "data"), "ext").alias("i")).select("split", "label", "stem", "i.*")
+    folders = _folders(spark, root, splits)
+    if folders is None:
+        return spark.createDataFrame([], _IMAGES)
+    key = ["split", "label", "stem"]
+    data = [F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data")]
+
+    def read(paths: str | list[str]) -> DataFrame:
+        rows = spark.read.format("image").option("dropInvalid", True).load(paths).select(*_place(F.col("image.origin")), *data)
+        return rows.where(F.col("split").isin(*splits) & F.col("ext").isin(ids.IMAGE_EXTENSIONS))
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key).agg(F.min_by(F.struct("ext", "height", "width", "channels", "data"), "ext").alias("i")).select(*key, "i.*")
+
+    names = image_list(spark, root, splits)
+    twice = names.join(names.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key).select(*key, "path").limit(NAMES + 1).collect()
+    if not twice:
+        return read(folders)
+    if len(twice) > NAMES:
+        return one_each(read(folders))
+    known = spark.createDataFrame([r[:3] for r in twice], "split string, label string, stem string").distinct()
+    return read(folders).join(F.broadcast(known), key, "left_anti").unionByName(one_each(read([r["path"] for r in twice])))
 
 
 def split_manifest(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
@@ -58,12 +102,12 @@ def split_manifest(spark: SparkSession, path: str, category: str | None = None)
 def annotation_manifest(spark: SparkSession, path: str) -> DataFrame:
     """image, label of an annotation CSV; empty where there is no file."""
     schema = "image string, label string"
-    return spark.read.csv(path, header=True, schema=schema) if os.path.exists(path) else spark.createDataFrame([], schema)
+    return spark.read.csv(path, header=True, schema=schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def categories(spark: SparkSession, root: str) -> list[str]:
     path = f"{root}/split_csv/1cls.csv"
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return [r[0] for r in split_manifest(spark, path).select("object").distinct().orderBy("object").collect()]
 

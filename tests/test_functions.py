@@ -159,6 +159,43 @@ def test_candidates():
     assert flat["angle"] == 0 and flat["iou"] > 0
 
 
+def test_colour_guide():
+    """Edges that only a colour image shows guide the filter; a gray image guides as three equal channels would."""
+    rng = np.random.default_rng(1)
+    step = np.zeros((24, 24))
+    step[:, 12:] = 1
+    noisy = step + rng.normal(0, 0.1, step.shape)
+    colour = np.where(step[..., None] > 0, [200, 100, 50], [100, 151, 50]).astype(np.uint8)  # of about the same gray
+    flat = np.full((24, 24), 127, np.uint8)
+    sharp, blurred = (raster.guided(noisy, g, 3, 1.0) for g in (colour, flat))
+    edge = lambda a: abs(a[:, 12].mean() - a[:, 11].mean())
+    assert edge(sharp) > 0.5 > edge(blurred)
+    gray = rng.integers(0, 255, (24, 24)).astype(np.uint8)
+    one = raster.guided(noisy, gray, 3, 3.0)
+    three = raster.guided(noisy, np.repeat(gray[..., None], 3, axis=2), 3, 9.0)
+    assert np.abs(one - three).max() <= 1 / 255 + 1e-9
+
+
+def test_drawings():
+    box = raster.crop_box(np.array([1.0, 0, -4, 0, 1.0, -2]), (9, 5), (20, 12))
+    assert box.shape == (12, 20, 3) and box[2, 4].any() and box[6, 12].any() and not box[0, 0].any() and not box[11, 19].any()
+    over = raster.overlay(np.full((8, 8), 100, np.uint8), np.arange(16.0).reshape(4, 4))
+    assert over.shape == (8, 8, 3) and over[0, 0].tolist() == [40, 40, 42] and over[7, 7].sum() > over[0, 0].sum()
+
+
+def test_per_defect(spark):
+    rng = np.random.default_rng(2)
+    rows = [("good", float(rng.integers(0, 40))) for _ in range(300)] + [(d, float(rng.integers(5, 50))) for d in "abc" for _ in range(50)] + [("d", 100.0)]
+    got = {r["defect"]: r["auroc"] for r in metrics.per_defect(spark.createDataFrame(rows, "label string, score double"), "score", "label").collect()}
+    normal = np.array([s for k, s in rows if k == "good"])
+    for d in "abcd":
+        own = np.array([s for k, s in rows if k == d])[:, None]
+        assert got[d] == pytest.approx(((own > normal) + (own == normal) / 2).mean())
+    assert set(got) == set("abcd")
+    alone = metrics.per_defect(spark.createDataFrame(rows[300:], "label string, score double"), "score", "label").collect()
+    assert {r["auroc"] for r in alone} == {None}
+
+
 def test_refiners():
     a = np.random.default_rng(0).random((12, 12))
     assert raster.refiner({}, "raw") is None

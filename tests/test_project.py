@@ -71,6 +71,70 @@ def test_segmentation(spark, dataset, tmp_path):
         stages.require_masks(images, stages.segment(none, images))
 
 
+def test_models_take_batches(spark, dataset, tmp_path):
+    """A model with `many` is called with several images at once and gives the same rows."""
+    catalog = Catalog(spark, f"file://{tmp_path}/tables")
+    projects.prepare_project(catalog, "local", "demo", str(dataset), name="demo")
+    images = catalog.read("images", "demo").drop("project")
+
+    class Segmenter:
+        def __call__(self, image, prompt):
+            return [image > 100]
+
+        def many(self, pictures, prompt):
+            assert 0 < len(pictures) <= 3
+            return [[image > 100] for image in pictures]
+
+    class Embedder:
+        def __call__(self, image, grid):
+            return stages.patch_statistics(image, grid)
+
+        def many(self, pictures, grid):
+            assert 0 < len(pictures) <= 2
+            return np.stack([stages.patch_statistics(image, grid) for image in pictures])
+
+    on = cfg.merged(CONFIG, {"segmentation": {"enabled": True}})
+    several = stages.Context(on, Segmenter(), Embedder(), segment_batch=3, embed_batch=2)
+    single = stages.Context(on, lambda image, prompt: [image > 100], stages.patch_statistics)
+    rows = []
+    for ctx in (several, single):
+        masks = stages.segment(ctx, images)
+        patches = stages.embed(ctx, stages.crop(ctx, images, masks))
+        rows.append((sorted(map(str, masks.collect())), sorted(map(str, patches.collect()))))
+    assert rows[0] == rows[1] and len(rows[0][1]) == 15 * 64
+
+
+def test_runs_keep_instances_and_configuration(spark, dataset, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/tables")
+    projects.prepare_project(catalog, "local", "demo", str(dataset), name="demo")
+    assert catalog.project_config("demo") == cfg.DEFAULTS
+    catalog.save_project_config("demo", CONFIG)
+    projects.prepare_project(catalog, "local", "demo", str(dataset), name="demo")
+    assert catalog.project_config("demo") == CONFIG  # not overwritten
+    projects.process_project(catalog, "demo", CONFIG)
+    run = projects.score_project(catalog, "demo", CONFIG, pixel_sample=100)["run_id"]
+    assert catalog.registry("demo").count() == catalog.run_instances(run).count() == 15
+    assert catalog.run_config(run) == CONFIG and catalog.run_config("none") is None
+    with pytest.raises(FileNotFoundError):
+        catalog.run_instances("none")
+    quiet = projects.process_project(catalog, "empty", CONFIG, compat=True)
+    assert quiet["stages_run"] == [] and quiet["stages_skipped"] == cfg.STAGES and quiet["instances"] == 0
+
+
+def test_prepare_downloads(spark, dataset, tmp_path, monkeypatch):
+    import tarfile
+
+    from prismlake.sources import urls
+
+    with tarfile.open(tmp_path / "bottle.tar.xz", "w:xz") as t:
+        t.add(dataset, "bottle")
+    monkeypatch.setattr(urls, "archive_of", lambda source, category: (tmp_path / "bottle.tar.xz").as_uri())
+    catalog = Catalog(spark, f"file://{tmp_path}/tables")
+    for _ in range(2):  # the second time it is there
+        projects.prepare_project(catalog, "mvtec_ad", "bottle", str(tmp_path / "datasets"), download=True)
+    assert catalog.read("images", "bottle").count() == 15 and catalog.read("ground_truth", "bottle").count() == 5
+
+
 def test_prepare_rejects(spark, tmp_path):
     catalog = Catalog(spark, f"file://{tmp_path}/tables")
     with pytest.raises(ValueError):
