@@ -301,10 +301,10 @@ def components(edges: DataFrame) -> DataFrame:
     def largest(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")).withColumn("m", F.least("u", "m"))
-        return join_counted(both, staged(least, "least"), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        return join_counted(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
     def smallest(e: DataFrame) -> DataFrame:  # u > v in every edge
-        least = staged(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least")
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
         return join_counted(e, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
 
     def state(e: DataFrame) -> tuple:

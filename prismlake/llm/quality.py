@@ -30,7 +30,7 @@ BUCKETS, RANK, BINS = 1 << 16, 6, 8
 TRAIN_ROWS, STEPS, BATCH, RATE, DECAY = 8_000, 500, 128, 0.1, 1e-4
 THRESHOLD, HELD_OUT = 0.7, 2
 #: Words that a worker remembers.
-KNOWN = 50_000
+KNOWN = 100_000
 
 _MARKS = [re.compile(x) for x in (r"[|]", r"[!?]{2}", r"[%&$#*@^~=+<>\\{}\[\]_]", r"^[^a-zà-ÿ]*[A-ZÀ-Þ]{2}[^a-zà-ÿ]*$", r"\d", r"^[A-ZÀ-Þ]", r"[.,;:]$", r"://|www\.")]
 STATS = len(_MARKS) + 9
@@ -42,7 +42,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN:
             self.clear()
-        marks = sum(bool(m.search(word)) << i for i, m in enumerate(_MARKS))
+        marks = 0 if word.isalpha() and word.islower() else sum(bool(m.search(word)) << i for i, m in enumerate(_MARKS))  # letters bear none
         bare = word.lower().strip(".,;:!?|%&$#*\"'()")
         bucket = xxhash.xxh32_intdigest(bare) % BUCKETS
         value = len(word) << 24 | bucket << 8 | marks

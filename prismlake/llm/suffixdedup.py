@@ -424,14 +424,14 @@ def _compared(todo: DataFrame, group: int) -> DataFrame:
 
     while True:
         todo = staged(todo, "contexts")
-        sizes = todo.groupBy(*key).agg(F.count("*").alias("many"))
-        large = sizes.where(F.col("many") > group)
-        some = not large.isEmpty()
-        small = todo.join(sizes.where(F.col("many").between(2, group)).select(*key), key) if some else todo
+        sizes = staged(todo.groupBy(*key).agg(F.count("*").alias("many")), "sizes")
+        some = not sizes.where(F.col("many") > group).isEmpty()
+        counted = join_counted(todo, sizes, key) if some else todo
+        small = counted.where(F.col("many").between(2, group)).drop("many") if some else todo
         also(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_resolve_groups, _MARKS))
         if not some:
             return marks
-        halves = staged(map_batches(join_counted(todo, staged(large, "large"), key), _split, _HALVES), "halves")
+        halves = staged(map_batches(counted.where(F.col("many") > group), _split, _HALVES), "halves")
         # whole ranges that occur twice are repeated; one of them goes on as partner of the others
         whole = halves.where("u1 is not null").groupBy("u1", "u2").agg(
             F.count("*").alias("many"), F.min(F.struct("h1", "h2", "pos")).alias("one"), F.min("whole").alias("least"), F.max("whole").alias("most"), F.max("kind").alias("k"),

@@ -35,7 +35,7 @@ BUCKETS, BEGINNINGS = 1 << 22, range(3, 9)
 TRAIN_ROWS, FOLDS, INPUTS, LEAST_ROWS = 10_000, 3, 6_000, 3
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.1, 1e-4
 #: Words that a worker remembers.
-KNOWN = 30_000
+KNOWN = 100_000
 _WORD = re.compile(r"[^\W\d_]+|\||[!?]{2,}|[%&$#*]{3,}")
 
 
