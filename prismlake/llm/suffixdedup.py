@@ -68,7 +68,7 @@ class Windows:
 #: By number: windows of bytes, windows of words.
 KINDS = (Windows(LENGTH, 128, "u1", False), Windows(WORDS_LEAST + 1, 16, "<u4", True))
 #: Symbols hashed at once, contexts sorted at once, and contexts of one anchor that one task may get.
-BLOCK, BATCH, GROUP = 1 << 18, 3_000, 2_000
+BLOCK, BATCH, GROUP = 1 << 18, 5_000, 5_000
 
 _BASE = 0x5851F42D4C957F2D
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -99,8 +99,10 @@ class Prefix:
         return h ^ (h >> np.uint64(29))
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes a and b, at most `most`, by binary search."""
+        """Length of the common extension of suffixes a and b, at most `most`: all of it, or by binary search."""
         low, high = np.zeros(len(a), np.int64), most.astype(np.int64).copy()
+        whole = (self.sums[a + high] - self.sums[a]) * self.down[a] == (self.sums[b + high] - self.sums[b]) * self.down[b]
+        low[whole] = high[whole]
         while (open_ := low < high).any():
             k = np.flatnonzero(open_)
             middle = (low[k] + high[k] + 1) >> 1
@@ -165,7 +167,24 @@ def suffix_order(text: Prefix, start: np.ndarray, depth: np.ndarray, group: np.n
 
 
 def equal_classes(text: Prefix, start: np.ndarray, depth: np.ndarray, group: np.ndarray, verify: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the number of its class (equal group and equal first `depth` bytes) and the class's size."""
+    """For each suffix the number of its class (equal group and equal first `depth` symbols) and the class's size.
+
+    Suffixes whose hash is the only one of its kind in the group are classes of their own; the others are sorted.
+    """
+    hashes = text.hash(start, depth)
+    by_hash = np.lexsort((hashes, group))
+    new = np.concatenate([[True], (hashes[by_hash][1:] != hashes[by_hash][:-1]) | (group[by_hash][1:] != group[by_hash][:-1])]) if len(start) else np.empty(0, bool)
+    alone = np.zeros(len(start), bool)
+    alone[by_hash] = new & np.append(new[1:], True)
+    rest = np.flatnonzero(~alone)
+    label = np.empty(len(start), np.int64)
+    label[rest] = _sorted_classes(text, start[rest], depth[rest], group[rest], verify)
+    label[alone] = label[rest].max(initial=-1) + 1 + np.arange(np.count_nonzero(alone))
+    return label, np.bincount(label)[label] if len(label) else label
+
+
+def _sorted_classes(text: Prefix, start: np.ndarray, depth: np.ndarray, group: np.ndarray, verify: bool) -> np.ndarray:
+    """For each suffix the number of its class, by sorting and comparing neighbours."""
     order = suffix_order(text, start, depth, group)
     a, b = order[:-1], order[1:]
     same = group[a] == group[b]
@@ -177,7 +196,7 @@ def equal_classes(text: Prefix, start: np.ndarray, depth: np.ndarray, group: np.
             same[x] = text.data[i : i + n].tobytes() == text.data[j : j + n].tobytes()
     label = np.empty(len(order), np.int64)
     label[order] = np.concatenate([[0], np.cumsum(~same)]) if len(order) else []
-    return label, np.bincount(label)[label] if len(order) else label
+    return label
 
 
 def anchors(data: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -439,7 +458,11 @@ def _compared(todo: DataFrame, group: int) -> DataFrame:
         )
         across = "k = " + " OR k = ".join(str(i) for i, w in enumerate(KINDS) if w.across)
         alike = whole.where(f"many > 1 AND least = most AND (NOT ({across}) OR texts OR known > 1)").select("u1", "u2", "many", "one")
-        halves = join_counted(halves.drop("whole"), staged(alike, "alike"), ["u1", "u2"], "left")
+        halves = halves.drop("whole").where("u1 is not null or lo < hi")
+        alike = staged(alike, "alike")
+        asked = join_counted(Bloom(alike.select(F.xxhash64("u1", "u2"))).rows(halves.withColumn("u", F.xxhash64("u1", "u2")), "u").drop("u"), alike, ["u1", "u2"])
+        others = halves.where("lo < hi").join(alike.select("u1", "u2"), ["u1", "u2"], "left_anti")
+        halves = asked.unionByName(others, allowMissingColumns=True)
         length = F.element_at(F.array(*(F.lit(w.length) for w in KINDS)), F.col("kind") + 1)
         reach = [(F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") + length - F.col("lo")).alias("b")]
         also(halves.where("many > 1 AND weight = 1").select("kind", "h1", "h2", *reach))
