@@ -94,9 +94,18 @@ class Prefix:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        h = (self.sums[start + length] - self.sums[start]) * self.down[start]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(29))
+        return self._mixed((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+    def hashes(self, first: int, last: int, length: int) -> np.ndarray:
+        """The same of all substrings of a length that start in [first, last)."""
+        return self._mixed((self.sums[first + length : last + length] - self.sums[first:last]) * self.down[first:last])
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        return h
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, at most `most`: all of it, or by binary search."""
@@ -209,7 +218,7 @@ def anchors(data: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.nd
         stop = min(at + BLOCK, windows)  # windows that start in [at, stop)
         low, high = max(0, at - w.length), min(n, stop + 2 * w.length)
         text = Prefix(data[low:high])
-        grams = text.hash(np.arange(at - low, stop + w.reach - low), w.gram)
+        grams = text.hashes(at - low, stop + w.reach - low, w.gram)
         index = np.arange(len(grams), dtype=np.uint64)
         value = (grams & ~np.uint64(0xFFFFF)) | index
         padded = np.full(-(-len(value) // span) * span, np.uint64(2**64 - 1))
@@ -542,7 +551,7 @@ def _everywhere(data: bytes, runs: list[dict], kind: int) -> tuple[np.ndarray, n
     several times only one place is known."""
     w = KINDS[kind]
     symbols = w.symbols(data)
-    windows = Prefix(symbols).hash(np.arange(len(symbols) - w.length + 1), w.length)
+    windows = Prefix(symbols).hashes(0, len(symbols) - w.length + 1, w.length)
     known = np.concatenate([np.arange(r["a"], r["b"] - w.length + 1) for r in runs])
     at = np.flatnonzero(np.isin(windows, windows[known]))
     return merged(at, at + w.length)
