@@ -41,6 +41,8 @@ CHUNKS, WIDTH, ERRORS = 12, 4, 1
 SLOTS = CHUNKS * WIDTH
 #: Followers that go with one copy of their leader, bytes of sets in a block of a family, fewest and most sets in one.
 FOLLOWERS, BLOCK_BYTES, MEMBERS = 64, 1 << 20, (16, 1024)
+#: Edges up to which one task finds the components (8 MB); more are left to rounds over all of the cluster.
+TOGETHER = 500_000
 
 _rng = np.random.default_rng(20_240_501)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -290,13 +292,32 @@ def family_links(kin: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     return rows.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all edges (u, v): roots are hooked onto the least one beside them until none is left to."""
+    table = pa.Table.from_batches(list(batches), schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    many = table.num_rows
+    nodes, flat = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = flat[:many], flat[many:]
+    up = np.arange(len(nodes))
+    while not np.array_equal(up[u], up[v]):
+        x, y = up[u], up[v]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, higher := up[up]):
+            up = higher
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "comp": pa.array(nodes[up], pa.int64())})
+    give_back()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes that have an edge (a, b), by alternating large-star and small-star steps.
+    """(node, comp) of all nodes that have an edge (a, b); comp is the least node. edges are read several times.
 
-    Each step takes minima by node and joins them with the node's edges, a hub's without a shuffle; after every
-    round the edges are written to the shared folder. It ends when a round changes nothing, in about log(nodes)
-    rounds.
+    Up to TOGETHER edges are one task's work. More go by alternating large-star and small-star steps. Each step takes
+    minima by node and joins them with the node's edges, a hub's without a shuffle; after every round the edges are
+    written to the shared folder. It ends when a round changes nothing, in about log(nodes) rounds.
     """
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if edges.count() <= TOGETHER:  # a round is a dozen stages, all of which the driver keeps in mind
+        return edges.coalesce(1).mapInArrow(_together, "node long, comp long")
 
     def largest(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -310,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = staged(edges.distinct(), "edges")
     was = None
     while (seen := state(now)) != was and seen[0]:
         was = seen

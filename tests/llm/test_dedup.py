@@ -98,6 +98,25 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_components_in_few_jobs(spark, tmp_path, monkeypatch):
+    """Chains, hubs and loops are one short run, with the result of the rounds that more edges take."""
+    rng = random.Random(2)
+    names = rng.sample(range(-(10**12), 10**12), 1000)
+    edges = list(zip(names[:300], names[1:301])) + [(names[400], x) for x in names[401:600]] + [(x, x) for x in names[900:]]
+    edges += [(rng.choice(names[600:800]), rng.choice(names[600:800])) for _ in range(150)] + [(b, a) for a, b in edges[:50]]
+    rng.shuffle(edges)
+    spark.createDataFrame(edges, "a long, b long").repartition(8).write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    got = sorted(map(tuple, neardup.components(edges).collect()))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("components")) <= 4
+    monkeypatch.setattr(neardup, "TOGETHER", 0)
+    assert got == sorted(map(tuple, neardup.components(edges).collect()))
+    assert neardup.components(edges.limit(0)).count() == 0
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**16, (300, neardup.SLOTS)).astype(np.uint16)
