@@ -13,8 +13,10 @@ sidebars, notices, adverts, forms, scripts, styles, comments). A header with the
 Wrappers can be merged in any order, so each task folds its own pages of a host into one and groups of at
 most FAN wrappers are merged level by level: no host, however large, is one task's work. All pages count.
 Wrappers have a bounded size: of more than WIDE siblings the order isn't kept (each kind is one repeated
-group), elements nested more than DEEP levels are parts of the one at that level, and of more than NODES nodes
-the rarest go. What a wrapper doesn't know is read as a slot, so no text is lost by that.
+group), and elements nested more than DEEP levels are parts of the one at that level. A host whose wrapper would have more
+than NODES nodes is read again: the pages of each path are counted by aggregations, and its wrapper is made of the
+paths that may be template, those on as many pages as that takes (about twice a page's elements at most). Of all
+others the wrapper notes that they have text, which is all that matters of a slot. So nothing is left out there.
 
 Defined results: a null or empty html has an empty text; a null url, or one without `://`, belongs to the
 host ''; a page with nothing but its host's template is read as if it were the host's only one; a null page_id
@@ -40,6 +42,8 @@ from .common import bounded_batches, give_back, join_counted, map_batches, stage
 from .urlfilter import parts
 
 FAN, CONSTANT, WIDE, DEEP, NODES = 64, 3, 64, 100, 5_000
+#: Pages of one host that go with one copy of its paths.
+SHARE = 1_000
 
 # every alternative reads its part of the page once: none starts over after a failure far behind it
 _INSIDE = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*+"
@@ -176,9 +180,11 @@ def parse(page: str) -> Element:
     return Page(page).root
 
 
-# ---- wrappers: [label, repeated, optional, pages, characters, text hash or 0, children]
+# ---- wrappers: [label, repeated, optional, pages, characters, text hash or 0 (of an element: notes), children]
 
 LABEL, REPEATED, OPTIONAL, PAGES, SIZE, TEXT, INSIDE = range(7)
+#: Notes: elements that were left out have text that counts as the element's own; have any text; (of the root) are unknown.
+OWN, DEEPER, CUT = 1, 2, 4
 
 
 def wrapper(e: Element | str) -> list:
@@ -198,7 +204,8 @@ def wrapper(e: Element | str) -> list:
 
 def merge(a: list, b: list) -> list:
     """The wrapper that fits what a or b fit; both have the same label."""
-    return [a[LABEL], a[REPEATED] | b[REPEATED], a[OPTIONAL] | b[OPTIONAL], a[PAGES] + b[PAGES], a[SIZE] + b[SIZE], a[TEXT] if a[TEXT] == b[TEXT] else 0, align(a[INSIDE], b[INSIDE])]
+    text = a[TEXT] | b[TEXT] if a[LABEL] != "#" else a[TEXT] if a[TEXT] == b[TEXT] else 0
+    return [a[LABEL], a[REPEATED] | b[REPEATED], a[OPTIONAL] | b[OPTIONAL], a[PAGES] + b[PAGES], a[SIZE] + b[SIZE], text, align(a[INSIDE], b[INSIDE])]
 
 
 def repeated(a: list, b: list) -> list:
@@ -253,7 +260,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
 
 
 def pruned(w: list) -> list:
-    """The wrapper with at most NODES nodes: those on the fewest pages go, all below a node with it."""
+    """The wrapper with at most NODES nodes: those on the fewest pages go, all below a node with it, which is noted as CUT."""
 
     def pages(node: list) -> Iterator[int]:
         yield node[PAGES]
@@ -269,7 +276,52 @@ def pruned(w: list) -> list:
         inside = folded(node[INSIDE])  # so that no node of the same path is left
         return [*node[:INSIDE], [kept(c) for c in inside if c[PAGES] > least]]
 
-    return kept(w)
+    out = kept(w)
+    out[TEXT] |= CUT
+    return out
+
+
+def below(path: int, label: str) -> int:
+    """Number of a path that goes one element on; should two paths share one, more is kept, never less."""
+    return xxhash.xxh64_intdigest(label, seed=path) >> 1
+
+
+def places(w: list) -> set[int]:
+    """Paths of a page's elements that aren't inside boilerplate."""
+    found: set[int] = set()
+
+    def walk(node: list, path: int) -> None:
+        found.add(path)
+        if node[LABEL][0] != "!":
+            for c in node[INSIDE]:
+                if c[LABEL] != "#":
+                    walk(c, below(path, c[LABEL]))
+
+    walk(w, 0)
+    return found
+
+
+def at_paths(w: list, paths: set[int]) -> list:
+    """A page's wrapper of its elements at some paths, with notes of the texts of all others: none of these is a constant."""
+
+    def own(node: list) -> bool:
+        return node[LABEL] == "#" or (node[LABEL].split(".")[0] in PARAGRAPHS and any(map(own, node[INSIDE])))
+
+    def any_text(node: list) -> bool:
+        return node[LABEL] == "#" or (node[LABEL][0] != "!" and any(map(any_text, node[INSIDE])))
+
+    def kept(node: list, path: int) -> list:
+        notes, inside = node[TEXT], []
+        for c in node[INSIDE]:
+            if c[LABEL] == "#":
+                inside.append(c)
+            elif (further := below(path, c[LABEL])) in paths:
+                inside.append(kept(c, further))
+            else:
+                notes |= OWN * own(c) | DEEPER * any_text(c)
+        return [*node[:TEXT], notes, inside]
+
+    return kept(w, 0)
 
 
 def expression(w: list) -> str:
@@ -295,7 +347,7 @@ def template_paths(w: list) -> list[str]:
         if node[LABEL] == "#":
             return True, not node[TEXT] or node[PAGES] < least
         if node[LABEL].split(".")[0] in PARAGRAPHS:
-            found = [own(c) for c in node[INSIDE]]
+            found = [own(c) for c in node[INSIDE]] + [(True, True)] * (node[TEXT] & OWN)
             return any(x for x, _ in found), any(y for _, y in found)
         return False, False
 
@@ -303,9 +355,9 @@ def template_paths(w: list) -> list[str]:
         """Whether there is a slot in the node, which makes all of one that is named as content no template."""
         if node[LABEL][0] == "!":
             return False
-        found = [own(c) for c in node[INSIDE]]
+        found = [own(c) for c in node[INSIDE]] + [(True, True)] * (node[TEXT] & OWN)
         slot = any(y for _, y in found)
-        deeper = any([walk(c, f"{path}>{c[LABEL]}") for c in node[INSIDE] if c[LABEL] != "#"])
+        deeper = any([walk(c, f"{path}>{c[LABEL]}") for c in node[INSIDE] if c[LABEL] != "#"]) or bool(node[TEXT] & DEEPER)
         if any(x for x, _ in found):
             (slots if slot or (deeper and node[LABEL][0] == "=") else fixed).add(path)
         return slot or deeper
@@ -352,29 +404,35 @@ def main_text(root: Element, template: set[str]) -> str:
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host of a batch."""
+    """One wrapper for each host of a batch; of pages with paths (of their host) whole, at these."""
     for batch in batches:
         by_host: dict[str, list] = {}
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+        paths: dict[str, set[int]] = {}
+        for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
             host, w = parts(url)[0], wrapper(parse(page or ""))
-            by_host[host] = pruned(merge(by_host[host], w) if host in by_host else w)
+            if "paths" in batch.schema.names:
+                if host not in paths:
+                    paths[host] = set(batch.column("paths")[i].as_py() or ())
+                w = at_paths(w, paths[host])
+                by_host[host] = merge(by_host[host], w) if host in by_host else w
+            else:
+                by_host[host] = pruned(merge(by_host[host], w) if host in by_host else w)
         yield pa.RecordBatch.from_pydict({"host": pa.array(list(by_host), pa.string()), "wrapper": pa.array([json.dumps(w) for w in by_host.values()], pa.string())})
     give_back()
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
+def _merged(group: pd.DataFrame, bounded: bool) -> pd.DataFrame:
     whole = None
     for text in sorted(group.wrapper):
         w = json.loads(text)
-        whole = w if whole is None else pruned(merge(whole, w))
+        whole = w if whole is None else merge(whole, w)
+        whole = pruned(whole) if bounded else whole
     return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(whole)]})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of each host, from all its pages."""
-    bounded_batches(pages.sparkSession)
-    pages = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = staged(pages.mapInArrow(_own, "host string, wrapper string"), "wrappers")
+def merged(found: DataFrame, bounded: bool) -> DataFrame:
+    """One wrapper for each host."""
+    found = staged(found, "wrappers")
     while True:
         sizes = staged(found.groupBy("host").agg(F.count("*").alias("many")), "hosts")
         most = sizes.agg(F.max("many")).first()[0] or 0
@@ -382,7 +440,49 @@ def wrappers(pages: DataFrame) -> DataFrame:
             return found
         parts_of = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("many") / FAN))
         dealt = join_counted(found, sizes, ["host"]).withColumn("part", parts_of).groupBy("host", "part")
-        found = staged(dealt.applyInPandas(_merged, "host string, wrapper string"), "wrappers")
+        found = staged(dealt.applyInPandas(lambda group: _merged(group, bounded), "host string, wrapper string"), "wrappers")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """On how many pages of a batch each path of a host is."""
+    for batch in batches:
+        found = Counter()
+        for host, many, page in zip(*(batch.column(c).to_pylist() for c in ("host", "many", "html"))):
+            found.update((host, many, path) for path in places(wrapper(parse(page or ""))))
+        host, many, path = ([k[i] for k in found] for i in range(3))
+        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "many": pa.array(many, pa.int64()), "path": pa.array(path, pa.int64()), "pages": pa.array(found.values(), pa.int64())})
+    give_back()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of each host, from all its pages."""
+    bounded_batches(pages.sparkSession)
+    pages = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    kinds = "host string, wrapper string"
+    found = merged(pages.mapInArrow(_own, kinds), bounded=True)
+    is_cut = F.get_json_object("wrapper", f"$[{TEXT}]").cast("int").bitwiseAND(CUT) > 0
+    cut = staged(found.where(is_cut).select("host"), "cut")
+    if cut.isEmpty():
+        return found
+    rows = pages.withColumn("host", host_of("url"))
+    sizes = staged(rows.groupBy("host").agg(F.count("*").alias("many")).join(cut, "host"), "hosts")
+    rows = join_counted(rows, sizes, ["host"])
+    frequent = rows.select("host", "many", "html").mapInArrow(_places, "host string, many long, path long, pages long")
+    frequent = frequent.groupBy("host", "many", "path").agg(F.sum("pages").alias("pages"))
+    frequent = frequent.where(F.col("pages") >= F.greatest(F.lit(CONSTANT), F.col("many") / 2))
+    frequent = frequent.groupBy("host", "many").agg(F.collect_list("path").alias("paths"))
+    shares = F.ceil(F.col("many") / SHARE)
+    dealt = staged(frequent, "paths").select("host", "paths", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("url", "html"), shares)).join(dealt, ["host", "share"], "left")
+    whole = merged(rows.select("url", "html", "paths").mapInArrow(_own, kinds), bounded=False)
+    return found.where(~is_cut).unionByName(whole)
+
+
+def host_of(url: str) -> F.Column:
+    """What parts() takes for the host."""
+    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.substring_index(F.expr(f"substr({url}, instr({url}, '://') + 3)"), "#", 1), "?", 1)).otherwise("")
+    host = F.translate(F.substring_index(rest, "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(host, F.lit(""))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -393,10 +493,7 @@ def extract(pages: DataFrame) -> DataFrame:
         return {"host": batch.column(0), "paths": [template_paths(json.loads(w)) for w in batch.column(1).to_pylist()]}
 
     templates = map_batches(wrappers(pages), template, "host string, paths array<string>")
-    url = F.col("url").cast("string")
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.substring_index(F.expr("substr(cast(url as string), instr(cast(url as string), '://') + 3)"), "#", 1), "?", 1)).otherwise("")
-    host = F.translate(F.substring_index(rest, "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), F.coalesce(host, F.lit("")).alias("host"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of("url"))
     templates = staged(templates.join(rows.groupBy("host").agg(F.count("*").alias("many")), "host"), "templates")
     rows = join_counted(rows, templates, ["host"], "left", small="size(paths) <= 64")
 

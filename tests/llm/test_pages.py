@@ -157,6 +157,22 @@ def test_wrappers_are_bounded(monkeypatch):
     assert nodes(whole) <= 60 and htmlwrap.template_paths(whole) == ["#page>body>div.top", "#page>body>div.top>p"]
 
 
+def test_wide_hosts_are_whole(spark):
+    """Of a host with far more kinds of elements than a wrapper's bound, template is still what half its pages have."""
+    name = lambda n: "q" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+    def make(i):
+        body = "".join(f"<div class={name(i * 1800 + k)}><p>{i}.{k}</p></div>" for k in range(1800))
+        top = "<div class=top><p>Welcome</p></div>" if i else ""
+        return f"<body>{top}{body}<div class=note>Same{'<p>Only</p>' if i == 4 else ''}</div><div class=end>End</div></body>"
+
+    rows = [(i, f"http://w.net/{i}", make(i)) for i in range(8)] + [(20 + i, f"http://v.net/{i}", f"<body><div>Hi</div><div class=b><p>{i}</p></div></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in htmlwrap.extract(pages(spark, rows).coalesce(1)).collect()}
+    for i in range(8):
+        assert got[i].split("\n\n") == [f"{i}.{k}" for k in range(1800)] + ["Same"] + ["Only"] * (i == 4)
+    assert [got[20 + i] for i in range(4)] == ["0", "1", "2", "3"]
+
+
 def test_many_hosts_and_levels(spark, monkeypatch):
     monkeypatch.setattr(htmlwrap, "FAN", 2)
     rows = [(i, f"http://{'big' if i % 3 else i}.org/{i}", page(f"T{i}", f"p{i}")) for i in range(40)]
