@@ -18,11 +18,11 @@ def is_finite(c: Column | str) -> Column:
 
 
 def percentile_of(ordered: Column, share: float) -> Column:
-    """Linearly interpolated percentile of a sorted array without nulls."""
+    """Linearly interpolated percentile of a sorted array without nulls; between equal values it is that value, unrounded."""
     at = F.lit(share) * (F.size(ordered) - 1)
     low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
     below, above = F.get(ordered, low), F.get(ordered, high)
-    return F.when(low == high, below).otherwise((high - at) * below + (at - low) * above)
+    return F.when(below == above, below).otherwise((high - at) * below + (at - low) * above)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,6 +30,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of an array of doubles; what each addition rounds off is added at the end, so the order doesn't matter."""
+
+    def add(acc: Column, y: Column) -> Column:
+        s = acc["s"]
+        t = s + y
+        return F.struct(t.alias("s"), (acc["c"] + ((s - (t - (t - s))) + (y - (t - s)))).alias("c"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    return F.aggregate(x, zero, add, lambda acc: acc["s"] + F.nanvl(acc["c"], F.lit(0.0)))  # the rest of an infinite sum is NaN
+
+
 def band_of(values: Column | str, low: float, high: float, method: str = "mean") -> Column:
     """Score of an array: the mean, max or sum (else the mean) of the values between two percentiles, both included.
 
@@ -43,7 +55,7 @@ def band_of(values: Column | str, low: float, high: float, method: str = "mean")
         return F.when(F.size(v) < 1, F.lit(None).cast("double")).when(F.isnan(F.get(v, F.size(v) - 1)), F.lit(float("nan"))).otherwise(found)
 
     def total(x: Column) -> Column:
-        added = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y)
+        added = exact_sum(x)
         return {"max": F.array_max(x), "sum": added}.get(method, added / F.size(x))
 
     def or_else(x: Column, other: Column) -> Column:
