@@ -47,3 +47,7 @@ def test_sums_do_not_depend_on_the_order(spark):
     values = [[1e16, 1.0, -1e16], [float("inf"), 1.0], [0.1] * 10]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<double>").select("i", metrics.exact_sum(F.col("v")).alias("s"))
     assert [r["s"] for r in rows.orderBy("i").collect()] == [1.0, float("inf"), 1.0]
+
+
+def test_band_sum(spark, repeated):
+    assert not differ(spark, "band_sum", repeated)
