@@ -40,3 +40,7 @@ def test_vectors_with_nulls_are_joined(spark):
 
 def test_heatmap_by_blocks(spark):
     assert "FlatMapGroupsInArrow" in plan(catalogue.QUERIES["heatmap_min_cosine"](spark, SF))
+
+
+def test_flagship_computes_scores_once(spark):
+    assert "InMemoryRelation" in plan(catalogue.QUERIES["flagship_auroc"](spark, SF))
