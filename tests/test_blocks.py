@@ -44,3 +44,13 @@ def test_heatmap_by_blocks(spark):
 
 def test_flagship_computes_scores_once(spark):
     assert "InMemoryRelation" in plan(catalogue.QUERIES["flagship_auroc"](spark, SF))
+
+
+def test_all_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(heatmap, "PAIR_BLOCK", 16)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 300")
+    assert "FlatMapGroupsInArrow" in plan(catalogue.QUERIES["cosine_matrix"](spark, SF))
+    found = {(r["label"], r["a"], r["b"]): r["cosine"] for r in heatmap.cosine_pairs(rows, "label", "vec_id", "embedding").collect()}
+    odd = rows.unionAll(spark.createDataFrame([(1000, None, 3)], rows.schema))  # with a null the pairs are joined one by one
+    joined = {(r["label"], r["a"], r["b"]): r["cosine"] for r in heatmap.cosine_pairs(odd, "label", "vec_id", "embedding").where("b < 1000").collect()}
+    assert found.keys() == joined.keys() and all(abs(found[k] - joined[k]) < 1e-9 for k in found)
